@@ -22,6 +22,22 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geolake.llm.decontaminate import find_leaks
+
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = find_leaks(docs, common.read_table(spark, sf_dir, "benchmark"))
+    hit = F.coalesce(F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0]), F.lit(0).cast("long"))
+    return rows.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), "longest_match")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geolake.llm.toxicity import score_toxicity
+
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, common.read_table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geolake.llm.sharding import shard_documents
 
@@ -35,6 +51,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geolake.llm.substring_dedup import remove_repeats
+
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = remove_repeats(docs)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0])
+    return rows.select("doc_id", (F.octet_length("kept") + removed).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geolake.llm.records import fresh_folder, read_token_records, write_token_records
 
@@ -44,6 +69,6 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op5_sharding, op6_simhash, op10_records)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_decontamination, op4_toxicity, op5_sharding, op6_simhash, op9_suffix_dedup, op10_records)}
 
 ORACLE_SQL: dict[str, str] = {}
