@@ -54,7 +54,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geolake.llm.simhash import near_duplicates
 
     rows = near_duplicates(common.read_table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
