@@ -1,5 +1,5 @@
 """Spatial functions as Column expressions over the flat layout (type, x, y, parts); no Python runs on the executors
-but for parsing, writing and the general ``st_contains``."""
+but for parsing and writing WKB and the general ``st_contains``."""
 
 from __future__ import annotations
 
@@ -303,19 +303,31 @@ def st_as_geojson(g) -> Column:
     )
 
 
-def _text_udf(write, type_: str):
-    kind_ = {"string": pa.string(), "binary": pa.binary()}[type_]
-
-    def run(g: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else write(shapes.unflat(v["type"], v["x"], v["y"], v["parts"])) for v in g.to_pylist()], kind_)
-
-    run.__annotations__ = {"g": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, type_)
-
-
 def st_as_text(g) -> Column:
-    return _text_udf(shapes.to_wkt, "string")(col(g))
+    """WKT; whole numbers without a fraction."""
+    g = col(g)
+    number = lambda v: F.regexp_replace(v.cast("string"), r"\.0$", "")
+    pair = lambda i: F.concat(number(F.get(g["x"], i)), F.lit(" "), number(F.get(g["y"], i)))
+    run = lambda r: F.concat(F.lit("("), F.array_join(F.transform(F.sequence(r["first"], r["end"] - 1), pair), ", "), F.lit(")"))
+    rings = F.transform(runs(g), run)
+    listed = F.concat(F.lit("("), F.array_join(rings, ", "), F.lit(")"))
+    marked = F.transform(runs(g), lambda r: F.concat(F.when(r["hole"], ", ").otherwise("), ("), run(r)))
+    polygons = F.concat(F.lit("("), F.substr(F.array_join(marked, ""), F.lit(4)), F.lit("))"))
+    dots = F.concat(F.lit("("), F.array_join(F.transform(F.sequence(F.lit(0), F.size(g["x"]) - 1), lambda i: F.concat(F.lit("("), pair(i), F.lit(")"))), ", "), F.lit(")"))
+    names = {S.POINT: "POINT", S.LINE: "LINESTRING", S.POLYGON: "POLYGON", S.MULTIPOINT: "MULTIPOINT", S.MULTILINE: "MULTILINESTRING", S.MULTIPOLYGON: "MULTIPOLYGON"}
+    body = F.when(kind(g).isin(S.POINT, S.LINE), F.get(rings, F.lit(0))).when(kind(g) == S.MULTIPOINT, dots).when(kind(g) == S.MULTIPOLYGON, polygons).otherwise(listed)
+    name = F.when(kind(g) == S.POINT, names[S.POINT])
+    for k, n in names.items():
+        name = name.when(kind(g) == k, n)
+    return F.when(g.isNotNull(), F.concat(name, F.lit(" "), F.when(F.size(g["x"]) == 0, F.lit("EMPTY")).otherwise(body)))
 
 
 def st_as_wkb(g) -> Column:
-    return _text_udf(shapes.to_wkb, "binary")(col(g))
+    """Little-endian WKB, by an Arrow UDF: SQL has no function that packs doubles. Spark plans no Python function over nested
+    higher-order functions, so a computed geometry such as a centroid is to be stored in a table or cache first."""
+
+    def run(g: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else shapes.to_wkb(shapes.unflat(v["type"], v["x"], v["y"], v["parts"])) for v in g.to_pylist()], pa.binary())
+
+    run.__annotations__ = {"g": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "binary")(col(g))

@@ -6,6 +6,7 @@ struct. Native expressions do all conversions between structs; Arrow UDFs parse
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -25,41 +26,46 @@ def _fields(layout: T.StructType) -> list[T.StructField]:
     return [f for f in layout.fields if f.name != "bbox_partitioning"]
 
 
-def _parse(read: Callable, form: Callable, layout: T.StructType, on_error: str, single: bool = False):
-    fields = _fields(layout)
-    kinds = {"int": pa.int32(), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}
-    arrow = pa.struct([pa.field(f.name, kinds[f.dataType.simpleString()]) for f in fields])
+def _arrow(kind: T.DataType) -> pa.DataType:
+    if isinstance(kind, T.StructType):
+        return pa.struct([pa.field(f.name, _arrow(f.dataType)) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return pa.list_(_arrow(kind.elementType))
+    return {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary()}[kind.simpleString()]
+
+
+def _single(shape):
+    """Coordinates as 32-bit floats hold them."""
+    near = lambda d: tuple(struct.unpack("<2f", struct.pack("<2f", *d))) if isinstance(d, tuple) and isinstance(d[0], float) else (d[0], near(d[1])) if isinstance(d, tuple) else [near(m) for m in d]
+    return near(shape)
+
+
+def parse(c, source: str, layout: str = "fsp", on_error: str = "null", precision: str = "double") -> Column:
+    """WKB or WKT as a struct of a layout, without a cell; what cannot be read, or has no such form, is null or an error.
+
+    ``precision='single'`` rounds WKT coordinates to 32-bit floats. Spark plans no higher-order function right over a Python function:
+    put the result into a column (withColumn) before measuring it.
+    """
+    read = {"wkb": lambda v: shapes.from_wkb(bytes(v)), "wkt": shapes.from_wkt, "stored_wkb": lambda v: shapes.from_wkb(bytes(v))}[source]
+    kind = S.LAYOUTS[layout]
+    arrow = _arrow(kind)
 
     def one(v):
         if v is None:
             return None
         try:
-            values = form(read(v))
+            shape = read(v)
+            return shapes.to_layout(_single(shape) if precision == "single" and source == "wkt" else shape, layout)
         except Exception:
             if on_error == "raise":
                 raise
             return None
-        return dict(zip((f.name for f in fields), values))
 
     def run(c: pa.Array) -> pa.Array:
         return pa.array([one(v) for v in c.to_pylist()], arrow)
 
     run.__annotations__ = {"c": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, T.StructType(fields))
-
-
-def parse(c, source: str, nested: bool = False, on_error: str = "null", precision: str = "double") -> Column:
-    """WKB or WKT as a flat (or nested) struct without a cell; what cannot be read, or has no such form, is null or an error.
-
-    ``precision='single'`` rounds WKT coordinates to 32-bit floats.
-    """
-    read = {"wkb": lambda v: shapes.from_wkb(bytes(v)), "wkt": shapes.from_wkt}[source]
-    form, layout = (shapes.nested, S.NFSP) if nested else (shapes.flat, S.FSP)
-    g = _parse(read, form, layout, on_error)(G.col(c))
-    if precision == "single":
-        near = lambda v: F.transform(v, lambda d: d.cast("float").cast("double"))
-        g = g.withField("x", near(g["x"])).withField("y", near(g["y"]))
-    return with_cell(g)
+    return F.arrow_udf(run, kind)(G.col(c))
 
 
 def with_cell(g: Column, cell: Column | None = None) -> Column:
@@ -177,10 +183,9 @@ class Codec:
         c = G.col(c)
         if source == "wkb" and self.name == "wkb":
             return F.when(c.isNotNull(), F.struct(c.alias("geom"), G.no_cell().alias("bbox_partitioning")))
-        if source != "flat" and self.name == "nfsp":
-            return parse(c, source, True, on_error, precision)
-        flat = c if source == "flat" else parse(c, source, False, on_error, precision)
-        return F.when(flat.isNotNull(), self.from_flat(flat))
+        if source != "flat":
+            return parse(c, source, self.name, on_error, precision)
+        return F.when(c.isNotNull(), self.from_flat(c))
 
     def decode(self, g) -> Column:
         g = G.col(g)
@@ -222,7 +227,7 @@ def wkb_bbox(c: Column) -> Column:
 
 
 CODECS = {
-    "wkb": Codec("wkb", S.WKB, lambda g: F.struct(G.st_as_wkb(g).alias("geom"), g["bbox_partitioning"].alias("bbox_partitioning")), lambda g: with_cell(_parse(lambda v: shapes.from_wkb(bytes(v)), shapes.flat, S.FSP, "null")(g["geom"]), g["bbox_partitioning"])),
+    "wkb": Codec("wkb", S.WKB, lambda g: F.struct(G.st_as_wkb(g).alias("geom"), g["bbox_partitioning"].alias("bbox_partitioning")), lambda g: with_cell(parse(g["geom"], "wkb"), g["bbox_partitioning"])),
     "sp": Codec("sp", S.SP, _from_flat_sp, _to_flat_sp),
     "fsp": Codec("fsp", S.FSP, lambda g: g, lambda g: g),
     "nfsp": Codec("nfsp", S.NFSP, _from_flat_nfsp, _to_flat_nfsp),

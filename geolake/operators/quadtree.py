@@ -28,8 +28,9 @@ def fit(min_x, min_y, max_x, max_y) -> tuple[Column, Column]:
     """
     n = 1 << MAX_LEVEL
     u = lambda v, low, span: (col(v) - low) * (n / span)
-    left = lambda v, low, span: F.greatest(F.ceil(u(v, low, span)) - 1, F.lit(0)).cast("long")
-    right = lambda v, low, span: F.least(F.floor(u(v, low, span)), F.lit(n - 1)).cast("long")
+    clamp = lambda v: F.least(F.greatest(v, F.lit(0)), F.lit(n - 1)).cast("long")
+    left = lambda v, low, span: clamp(F.ceil(u(v, low, span)) - 1)
+    right = lambda v, low, span: clamp(F.floor(u(v, low, span)))
     i, i_low = left(max_x, -180, 360.0), right(min_x, -180, 360.0)
     j, j_high = right(min_y, -90, 180.0), left(max_y, -90, 180.0)
     differ = lambda low, high: F.when(low >= high, 0).otherwise(F.length(F.bin(low.bitwiseXOR(high))))
@@ -53,7 +54,7 @@ def code_at(path: Column, level: Column) -> Column:
 def quad_code(min_x, min_y, max_x, max_y, depth: int = BASE_LEVEL) -> Column:
     """Code of the smallest cell of at most ``depth`` levels that holds the box."""
     path, level = fit(min_x, min_y, max_x, max_y)
-    return code_at(path, F.least(level, F.lit(depth)))
+    return F.when(level.isNotNull(), code_at(path, F.least(level, F.lit(depth))))
 
 
 def point_code(x, y, depth: int = BASE_LEVEL) -> Column:
@@ -233,5 +234,5 @@ def assign(df: DataFrame, bounds: Column, tree: Quadtree, code_col: str = "regio
         own = F.when(F.col("__level") > depth, code_at(F.col("__path"), F.lit(depth)))
         rows = rows.join(F.broadcast(nodes), own == F.col("__c"), "left").drop("__c")
         hits = hits + F.coalesce(F.col(name), F.lit(False)).cast("int")
-    rows = rows.withColumn(code_col, code_at(F.col("__path"), F.least(F.col("__level"), hits)))
+    rows = rows.withColumn(code_col, F.when(F.col("__level").isNotNull(), code_at(F.col("__path"), F.least(F.col("__level"), hits))))
     return rows.drop("__path", "__level", *[f"__n{d}" for d in deep])

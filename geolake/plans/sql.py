@@ -49,58 +49,8 @@ _ARROW = {
 }
 
 
-def _ring(r) -> float:
-    return sum((a[0] - r[0][0]) * b[1] - (b[0] - r[0][0]) * a[1] for a, b in zip(r, r[1:])) / 2
-
-
-def _polygons(shape):
-    return shape[1] if shape[0] == S.MULTIPOLYGON else [shape[1]] if shape[0] == S.POLYGON and shape[1] else []
-
-
-def to_layout(shape, layout: str) -> dict:
-    """A Python shape as a stored struct."""
-    if layout == "wkb":
-        return {"geom": shapes.to_wkb(shape)}
-    if layout == "nfsp":
-        return dict(zip(("type", "x", "y", "parts", "geometries"), shapes.nested(shape)))
-    kind, x, y, parts = shapes.flat(shape)
-    if layout == "fsp":
-        return {"type": kind, "x": x, "y": y, "parts": parts}
-    points = [{"x": a, "y": b} for a, b in zip(x, y)]
-    if kind in (S.POINT, S.MULTIPOINT):
-        return {"type": kind, "parts": [{"coordinates": [p]} for p in points]}
-    starts = [abs(p) for p in parts or [0]] + [len(points)]
-    rings = [points[a:b] for a, b in zip(starts, starts[1:])]
-    if kind in (S.POLYGON, S.MULTIPOLYGON):
-        area = [_ring([(p["x"], p["y"]) for p in r]) for r in rings]
-        rings = [r[::-1] if (a > 0) == (s < 0) else r for r, a, s in zip(rings, area, parts)]
-    return {"type": kind, "parts": [{"coordinates": r} for r in rings]}
-
-
-def from_layout(v: dict, layout: str):
-    """The Python shape of a stored struct."""
-    if layout == "wkb":
-        return shapes.from_wkb(bytes(v["geom"]))
-    if layout == "nfsp":
-        return shapes.unnested(v["type"], v["x"], v["y"], v["parts"], v["geometries"])
-    if layout == "fsp":
-        return shapes.unflat(v["type"], v["x"], v["y"], v["parts"])
-    rings = [[(p["x"], p["y"]) for p in part["coordinates"]] for part in v["parts"]]
-    if v["type"] in (S.POINT, S.LINE, S.MULTIPOINT):
-        return v["type"], [p for r in rings for p in r]
-    if v["type"] in (S.POLYGON, S.MULTILINE):
-        return v["type"], rings
-    polygons: list = []
-    for r in rings:
-        if polygons and _ring(r) <= 0:
-            polygons[-1].append(r)
-        else:
-            polygons.append([r])
-    return v["type"], polygons
-
-
 def _area(shape) -> float:
-    return float(sum(abs(_ring(p[0])) - sum(abs(_ring(h)) for h in p[1:]) for p in _polygons(shape) if p))
+    return float(sum(abs(shapes.ring_area(p[0])) - sum(abs(shapes.ring_area(h)) for h in p[1:]) for p in shapes.polygons_of(shape) if p))
 
 
 def _spheroid(shape) -> float:
@@ -117,7 +67,7 @@ def _spheroid(shape) -> float:
             total += 2 * math.atan2(math.tan(turn / 2) * (p + q), 1 + p * q)
         return abs(total) * G.AUTHALIC_RADIUS**2
 
-    return float(sum(ring(p[0]) - sum(map(ring, p[1:])) for p in _polygons(shape) if p))
+    return float(sum(ring(p[0]) - sum(map(ring, p[1:])) for p in shapes.polygons_of(shape) if p))
 
 
 def _length(shape) -> float:
@@ -129,9 +79,9 @@ def centroid(shape):
     """Area-weighted, else length-weighted, else the mean of the points; None without points."""
     if (total := _area(shape)) > 0:
         mx = my = 0.0
-        for p in _polygons(shape):
+        for p in shapes.polygons_of(shape):
             for i, r in enumerate(p):
-                sign = (-1 if i else 1) * (1 if _ring(r) > 0 else -1)
+                sign = (-1 if i else 1) * (1 if shapes.ring_area(r) > 0 else -1)
                 for a, b in zip(r, r[1:]):
                     cross = (a[0] - r[0][0]) * (b[1] - r[0][1]) - (b[0] - r[0][0]) * (a[1] - r[0][1])
                     mx += sign * cross * ((a[0] + b[0] + r[0][0]) / 3) / 2
@@ -181,10 +131,11 @@ def register_functions(spark: SparkSession, layout: str = "fsp", tree: Quadtree
     """
     for name, (args, result, body) in INLINED.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {result} RETURN {body}")
+    spark.sql("DROP TEMPORARY FUNCTION IF EXISTS decodeGeometry")
     names = [*INLINED]
-    flat = lambda s: to_layout(s, "fsp")
-    shape = lambda v: from_layout(v, "fsp")
-    stored = lambda v: from_layout(v, layout)
+    flat = lambda s: shapes.to_layout(s, "fsp")
+    shape = lambda v: shapes.from_layout(v, "fsp")
+    stored = lambda v: shapes.from_layout(v, layout)
     grown = tree or Quadtree.initial()
 
     def points(s):
@@ -228,9 +179,9 @@ def register_functions(spark: SparkSession, layout: str = "fsp", tree: Quadtree
         "ST_AsWKB": (lambda v: shapes.to_wkb(shape(v)), binary),
         "ST_GeomFromWKB": (lambda v: flat(shapes.from_wkb(bytes(v))), fsp),
         "ST_GeomFromWKT": (lambda v: flat(shapes.from_wkt(v)), fsp),
-        "encodeGeometry": (lambda v: {"geom": bytes(v)} if layout == "wkb" else to_layout(shapes.from_wkb(bytes(v)), layout), own),
-        "encodeGeometryText": (lambda v: to_layout(shapes.from_wkt(v), layout), own),
-        "createPointGeometry": (lambda x, y: to_layout((1, [(x, y)]), layout), own),
+        "encodeGeometry": (lambda v: {"geom": bytes(v)} if layout == "wkb" else shapes.to_layout(shapes.from_wkb(bytes(v)), layout), own),
+        "encodeGeometryText": (lambda v: shapes.to_layout(shapes.from_wkt(v), layout), own),
+        "createPointGeometry": (lambda x, y: shapes.to_layout((1, [(x, y)]), layout), own),
         "calculateBbox": (lambda v: dict(zip(("min_x", "min_y", "max_x", "max_y"), bounds(stored(v)) or (None,) * 4)), box),
         "findBucket": (bucket, cell),
         "addgeohash": (at, text),
@@ -242,7 +193,7 @@ def register_functions(spark: SparkSession, layout: str = "fsp", tree: Quadtree
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION decodeGeometry({_G}) RETURNS {_FLAT_TEXT} RETURN g")
     for name, (f, (result, kind)) in python.items():
         spark.udf.register(name, F.arrow_udf(_lifted(f, kind), result))
-    return [*names, *python]
+    return [*names, *python, *(["decodeGeometry"] if layout == "fsp" else [])]
 
 
 def _lifted(f, kind):

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geolake.functions import geometry as G
 from geolake.operators import quadtree as Q
 from geolake.operators.codecs import CODECS
 
@@ -42,6 +41,7 @@ class GeoTable:
     def __init__(self, spark: SparkSession, spec: TableSpec, layout: str = "fsp"):
         self.spark, self.spec = spark, spec
         self.path = spec.path
+        self._read: dict[int, dict] = {}
         last = self.snapshot()
         self.layout = last["layout"] if last else layout
         self.codec = CODECS[self.layout]
@@ -63,7 +63,13 @@ class GeoTable:
         ids = self._ids()
         if not ids:
             return None
-        return json.loads(self.spark.read.text(f"{self.path}/_snapshots/{(number or ids[-1]):08d}.json", wholetext=True).first()[0])
+        number = number or ids[-1]
+        if number not in self._read:  # snapshots never change
+            fs, p = self._fs(f"{self.path}/_snapshots/{number:08d}.json")
+            stream = fs.open(p)
+            self._read[number] = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            stream.close()
+        return self._read[number]
 
     def _commit(self, operation: str, folders: list[dict], schema: str, tree: Q.Quadtree | None) -> None:
         """Publish the next snapshot; an error if another writer has published it meanwhile."""
@@ -244,6 +250,3 @@ def create_table(spark: SparkSession, name: str, schema: T.StructType, path: str
     place = f" LOCATION '{path}'" if path else ""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet{parts}{place}")
 
-
-def bbox_columns(g) -> G.Column:
-    return G.bbox(g)

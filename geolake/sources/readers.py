@@ -7,12 +7,11 @@ import json
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from geolake import schemas as S
 from geolake.functions import geometry as G
 from geolake.functions import shapes
-from geolake.operators.codecs import _fields, _from_flat_nfsp
+from geolake.operators.codecs import _arrow, _from_flat_nfsp
 
 #: Lines that decide the types of GeoJSON properties.
 SAMPLE_LINES = 100
@@ -61,9 +60,7 @@ def _geometry(v: Column) -> Column:
 
 def _collection(v: Column) -> Column:
     """A GeoJSON geometry of any type as a nested struct."""
-    fields = _fields(S.NFSP)
-    kinds = {"int": pa.int32(), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}
-    arrow = pa.struct([pa.field(f.name, kinds[f.dataType.simpleString()]) for f in fields])
+    arrow = _arrow(S.NFSP)
     codes = {"Point": 1, "LineString": 2, "Polygon": 3, "MultiPoint": 4, "MultiLineString": 5, "MultiPolygon": 6}
 
     def shape(g):
@@ -75,7 +72,7 @@ def _collection(v: Column) -> Column:
 
     def one(t):
         try:
-            return dict(zip((f.name for f in fields), shapes.nested(shape(json.loads(t)))))
+            return shapes.to_layout(shape(json.loads(t)), "nfsp")
         except (ValueError, KeyError, TypeError, IndexError):
             return None
 
@@ -83,8 +80,7 @@ def _collection(v: Column) -> Column:
         return pa.array([None if t is None else one(t) for t in c.to_pylist()], arrow)
 
     run.__annotations__ = {"c": pa.Array, "return": pa.Array}
-    g = F.arrow_udf(run, T.StructType(fields))(F.try_variant_get(v, "$.geometry", "string"))
-    return F.when(g.isNotNull(), g.withField("bbox_partitioning", G.no_cell()))
+    return F.arrow_udf(run, S.NFSP)(F.try_variant_get(v, "$.geometry", "string"))
 
 
 def read_geojson(spark: SparkSession, path, nested: bool = False, properties: dict[str, str] | None = None, observation: Observation | None = None) -> DataFrame:
