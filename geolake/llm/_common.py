@@ -2,14 +2,44 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_held: dict = {}
+
+
+def hold(kind: str, key, make):
+    """The one large helper object that a Python worker keeps between tasks; another one takes its place.
+
+    Workers outlive stages, so helpers of operators that have run before would add up.
+    """
+    if _held.get("key") != (kind, key):
+        if _held:
+            _held.clear()
+            release_memory()
+        _held["value"] = make()
+        _held["key"] = (kind, key)
+    return _held["value"]
+
+
+def release_memory() -> None:
+    """Give memory that Python, Arrow and the C library hold in reserve back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 _shipped: set[str] = set()
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from geolake.llm._common import hold
+
 #: Stands for the end of a word behind its last byte; never occurs in UTF-8.
 WORD_END = b"\xff"
 #: Entries of each memo of chunks and fragments in a Python worker.
-MEMO = 250_000
+MEMO = 100_000
 #: Characters for which Python's and the library's rules for case, composition and white space agree.
 _PLAIN = re.compile("[^\x00-\x1b\x20-\xff]")
 _NO_CUT = re.compile(r"\s ")
@@ -173,7 +174,7 @@ class ForcedBoundaryBpe:
             return [self.encode(t) for t in texts]
         out: list[bytes | None] = [None] * len(texts)
         split, known = {}, self.after_space
-        if len(known) >= 2 * MEMO:
+        if len(known) >= 4 * MEMO:
             known.clear()
         for i, t in enumerate(texts):
             if not t or t[0] == " " or t[-1].isspace() or any(m in t for m in self.marks) or _PLAIN.search(t) or _NO_CUT.search(t):
@@ -202,14 +203,9 @@ class ForcedBoundaryBpe:
         return self.library.decoder.decode(tokens)
 
 
-@lru_cache(2)
-def _engine(spec: str, _crc: int) -> ForcedBoundaryBpe:
-    return ForcedBoundaryBpe(spec)
-
-
 def engine(spec: str) -> ForcedBoundaryBpe:
-    """One engine for each tokenizer and Python worker."""
-    return _engine(spec, zlib.crc32(spec.encode()))
+    """The worker's engine for a tokenizer."""
+    return hold("bpe", zlib.crc32(spec.encode()), lambda: ForcedBoundaryBpe(spec))
 
 
 def load_spec(spark: SparkSession, path: str):
@@ -218,7 +214,7 @@ def load_spec(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def small_batches(batches, most_bytes: int = 8_000_000, column: int = -1):
+def small_batches(batches, most_bytes: int = 4_000_000, column: int = -1):
     """Slices of Arrow batches with no more than about ``most_bytes`` in a text or binary column, one row at least."""
     for batch in batches:
         if batch.num_rows == 0:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geolake.llm._common import utf8
+from geolake.llm._common import hold, utf8
 from geolake.llm.bpe import small_batches
 
 #: Bytes of item text in one automaton (some hundred megabytes in a worker); more items take more passes.
@@ -150,9 +149,8 @@ class ItemAutomaton:
         return out
 
 
-@lru_cache(1)
-def _automaton(key: tuple, size: int) -> ItemAutomaton:
-    return ItemAutomaton([(name, words_of(text)) for name, text in key], size)
+def _automaton(block: tuple, size: int) -> ItemAutomaton:
+    return hold("automaton", (hash(block), size), lambda: ItemAutomaton([(name, words_of(text)) for name, text in block], size))
 
 
 def _joined(spans: list[list[int]]) -> list[list[int]]:

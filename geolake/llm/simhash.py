@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geolake.llm._common import checkpoint, connected_components, utf8
+from geolake.llm._common import checkpoint, connected_components, hold, utf8
 from geolake.llm.bpe import small_batches
 
 #: Shards by (number of bit blocks, blocks that must agree): a radius of 3 leaves at least `agree` of `blocks` untouched.
@@ -73,6 +73,7 @@ def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, id_col: str =
     """``id_col, fp`` (binary, most significant byte first): the SimHash of every whole text; zero without words (null, empty)."""
 
     def run(batches):
+        hold("simhash", None, object)
         for b in small_batches(batches):
             fp = fingerprint_batch(b.column(1).to_pylist(), words, bits).astype(">u8")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in fp], pa.binary())], names=["id", "fp"])

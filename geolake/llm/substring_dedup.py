@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geolake.llm._common import shuffle_partitions, utf8
+from geolake.llm._common import hold, shuffle_partitions, utf8
 
 LENGTH, K = 50, 20
 REACH = LENGTH - K
@@ -106,6 +106,7 @@ class _Chunk:
     """A chunk's documents in a fixed order, its parse and its part of the dictionary, sorted by bucket."""
 
     def __init__(self, table: pa.Table, buckets: int, parse: bool = True):
+        hold("substrings", None, object)
         ids, texts = table.column("__id").to_pylist(), table.column("__text").to_pylist()
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
         self.texts = [texts[i] for i in self.order]
@@ -303,13 +304,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Text is shuffled once, by chunk (about 8 MB each), and stays there: what travels is each chunk's part of the dictionary
     (some 15 bytes for each distinct phrase; each chunk sends a phrase once, however often it has it), the answers, and the first
-    occurrences of those phrases whose trigger has several. So a passage that a third of all documents share costs each range
+    occurrences of those phrases whose trigger has several. Columns called kept or spans are replaced. So a passage that a third of all documents share costs each range
     of the dictionary one entry for each chunk at most.
     """
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     chunks = max(8, -(-total // CHUNK))
     buckets = min(chunks, MOST_BUCKETS)
-    kept = [c for c in docs.columns if c != text_col]
+    kept = [c for c in docs.columns if c not in (text_col, "kept", "spans")]
     parts = shuffle_partitions(docs.sparkSession)
     base = docs.select(
         *[F.col(f"`{c}`") for c in kept],
