@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from geolake.llm._common import hold
+from geolake.llm._common import hold, release_memory
 
 #: Stands for the end of a word behind its last byte; never occurs in UTF-8.
 WORD_END = b"\xff"
@@ -227,6 +227,7 @@ def small_batches(batches, most_bytes: int = 4_000_000, column: int = -1):
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + most_bytes, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    release_memory()  # workers wait for their next task with what they have
 
 
 def bpe_encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:

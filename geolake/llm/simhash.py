@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geolake.llm._common import checkpoint, connected_components, hold, utf8
+from geolake.llm._common import checkpoint, connected_components, hold, release_memory, utf8
 from geolake.llm.bpe import small_batches
 
 #: Shards by (number of bit blocks, blocks that must agree): a radius of 3 leaves at least `agree` of `blocks` untouched.
@@ -240,6 +240,8 @@ def fingerprint_links(nodes: DataFrame, bits: int = 64, radius: int = 3) -> Data
                     size = len(held[0][0])
         if held:
             yield solve(*(np.concatenate(c) for c in zip(*held)))
+        held.clear()
+        release_memory()
 
     dealt = nodes.select("node", "fp").mapInArrow(deal, "key long, node long, fp binary")
     return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")

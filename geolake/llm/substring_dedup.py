@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geolake.llm._common import hold, shuffle_partitions, utf8
+from geolake.llm._common import hold, release_memory, shuffle_partitions, utf8
 
 LENGTH, K = 50, 20
 REACH = LENGTH - K
 #: Bytes of text in a chunk, about: the unit that is parsed in one piece, and the most of a dictionary range.
-CHUNK = 8_000_000
+CHUNK = 4_000_000
 MOST_BUCKETS = 65_536
 SEGMENT = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
@@ -107,6 +107,7 @@ class _Chunk:
 
     def __init__(self, table: pa.Table, buckets: int, parse: bool = True):
         hold("substrings", None, object)
+        release_memory()
         ids, texts = table.column("__id").to_pylist(), table.column("__text").to_pylist()
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
         self.texts = [texts[i] for i in self.order]
@@ -154,6 +155,7 @@ def _dictionary(chunk: _Chunk, number: int, buckets: int) -> pa.Table:
 
 def _merge(table: pa.Table) -> pa.Table:
     """One range of the dictionary: the smallest document of each phrase, for the chunks that need to know."""
+    release_memory()
     bucket, chunk = table.column("key")[0].as_py(), table.column("chunk").to_pylist()
     trigger = [_unpack(x, 6) for x in table.column("a").to_pylist()]
     size = np.array([len(x) for x in trigger])
@@ -224,6 +226,7 @@ def _compare(table: pa.Table) -> pa.Table:
     """Phrases of one dictionary range, window by window; a span list just passes."""
     if table.column("key")[0].as_py() < 0:
         return table
+    release_memory()
     cols = {c: table.column(c).to_pylist() for c in ("chunk", "a", "b", "c", "d")}
     trigger = np.concatenate([_unpack(x, 8) for x in cols["a"]])
     doc = np.concatenate([_unpack(x, 8) for x in cols["b"]]).view(np.int64)
@@ -302,7 +305,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     UTF-8 bytes, null is empty; texts shorter than 50 bytes stay whole. Matches never cross documents; rows with equal ids are one
     document in this respect. Rows with a null id are returned unchanged and match nothing.
 
-    Text is shuffled once, by chunk (about 8 MB each), and stays there: what travels is each chunk's part of the dictionary
+    Text is shuffled once, by chunk (about 4 MB each), and stays there: what travels is each chunk's part of the dictionary
     (some 15 bytes for each distinct phrase; each chunk sends a phrase once, however often it has it), the answers, and the first
     occurrences of those phrases whose trigger has several. Columns called kept or spans are replaced. So a passage that a third of all documents share costs each range
     of the dictionary one entry for each chunk at most.
