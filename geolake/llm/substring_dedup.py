@@ -270,7 +270,7 @@ def _compare(table: pa.Table) -> pa.Table:
     return _rows(rows)
 
 
-def _finish(table: pa.Table, said: pa.Table, names: list[str]) -> pa.Table:
+def _finish(table: pa.Table, said: pa.Table, names: list[str], whole: bool) -> pa.Table:
     chunk = _Chunk(table, 1, parse=False)
     lo, hi = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for key, a, b in zip(*(said.column(c).to_pylist() for c in ("key", "a", "b"))):
@@ -292,15 +292,19 @@ def _finish(table: pa.Table, said: pa.Table, names: list[str]) -> pa.Table:
         mask = gone[end - len(text) : end]
         turn = np.flatnonzero(np.diff(np.r_[False, mask, False]))
         spans.append(turn.reshape(-1, 2).tolist())
-        kept.append(np.frombuffer(text, np.uint8)[~mask].tobytes() if len(turn) else text)
+        rest = np.frombuffer(text, np.uint8)[~mask].tobytes() if len(turn) else text
+        kept.append(rest.decode("utf-8", "ignore") if whole else rest)
     table = table.take(chunk.order)
-    out = {"kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int64())))}
+    out = {names[-2]: pa.array(kept, pa.string() if whole else pa.binary()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int64())))}
     return pa.table([out[n] if n in out else table.column(n) for n in names], names=names)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cleaned_col: str | None = None) -> DataFrame:
     """``docs`` without ``text_col``, with ``kept`` (binary: the bytes that stay) and ``spans`` (removed runs, [begin, end)).
 
+    With ``cleaned_col`` that column comes in place of ``kept``: the bytes that stay as a string, without what a cut inside a character
+    has left of it. It may be ``text_col`` itself; any other column of that name is replaced.
+
     Removes each byte covered by a 50-byte string that also starts in a document with a smaller id, judged on the input. Texts are
     UTF-8 bytes, null is empty; texts shorter than 50 bytes stay whole. Matches never cross documents; rows with equal ids are one
     document in this respect. Rows with a null id are returned unchanged and match nothing.
@@ -313,7 +317,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     chunks = max(8, -(-total // CHUNK))
     buckets = min(chunks, MOST_BUCKETS)
-    kept = [c for c in docs.columns if c not in (text_col, "kept", "spans")]
+    rest = cleaned_col or "kept"
+    kept = [c for c in docs.columns if c not in (text_col, rest, "spans")]
     parts = shuffle_partitions(docs.sparkSession)
     base = docs.select(
         *[F.col(f"`{c}`") for c in kept],
@@ -322,8 +327,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), F.lit(chunks)).alias("__chunk"),
     ).repartition(parts, "__chunk")
     number = lambda key: key[0].as_py()
-    names = [*kept, "kept", "spans"]
-    schema = T.StructType([*docs.select(*[F.col(f"`{c}`") for c in kept]).schema, T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
+    names = [*kept, rest, "spans"]
+    schema = T.StructType([*docs.select(*[F.col(f"`{c}`") for c in kept]).schema, T.StructField(rest, T.StringType() if cleaned_col else T.BinaryType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
 
     def dictionary(key, table):
         return _dictionary(_Chunk(table, buckets), number(key), buckets)
@@ -332,7 +337,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _resolve(_Chunk(table, buckets), number(key), said, buckets) if table.num_rows else _rows([])
 
     def finish(key, table, said):
-        return _finish(table, said, names)
+        return _finish(table, said, names, cleaned_col is not None)
 
     entries = base.groupBy("__chunk").applyInArrow(dictionary, _SAID)
     answers = entries.groupBy("key").applyInArrow(_merge, _SAID)

@@ -146,6 +146,9 @@ def test_repeats_against_brute_force(spark, corpus, no_docs, monkeypatch):
         got = remove_repeats(table).collect()
         assert sorted((g.doc_id is None, g.doc_id or 0, bytes(g.kept), len(g.spans)) for g in got) == want
     assert remove_repeats(no_docs).count() == 0
+    cleaned = remove_repeats(table, cleaned_col="text")
+    assert cleaned.columns[-2:] == ["text", "spans"]
+    assert sorted((g.doc_id is None, g.doc_id or 0, g.text) for g in cleaned.collect()) == sorted((n, i, b.decode("utf-8", "ignore")) for n, i, b, _ in want)
 
 
 def test_every_window_has_a_trigger():
