@@ -159,8 +159,11 @@ def bk_components(fps: np.ndarray, shard: np.ndarray, radius: int) -> np.ndarray
         links.append((q[hit], node[hit]))
         lo = np.searchsorted(key, node * span + np.maximum(d - radius, 0))
         count = np.searchsorted(key, node * span + np.minimum(d + radius, span - 1), side="right") - lo
-        pick = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-        stack.append((np.repeat(q, count), kids[pick]))
+        cut = np.flatnonzero(np.diff(np.cumsum(count) // FRONT)) + 1  # about FRONT children at once
+        for a, b in zip(np.r_[0, cut], np.r_[cut, len(q)]):
+            some = count[a:b]
+            pick = np.repeat(lo[a:b] - np.r_[0, np.cumsum(some)[:-1]], some) + np.arange(some.sum())
+            stack.append((np.repeat(q[a:b], some), kids[pick]))
     return _labels(n, *map(np.concatenate, zip(*links)))
 
 
