@@ -18,8 +18,8 @@ from geolake.llm.bpe import small_batches
 SCHEMES = ((4, 1), (5, 2), (6, 3), (7, 4))
 #: A scheme is taken if its keys would each hold at most so many random fingerprints.
 FULL = 8
-#: Shards of wide fingerprints: samples of their bits.
-SAMPLES = 40
+#: Shards of wide fingerprints are samples of their bits, so many that at most this share of the pairs at the radius meets in none.
+MISSED = 1e-3
 #: Pairs of query and tree node that are looked at together.
 FRONT = 500_000
 
@@ -171,7 +171,8 @@ def shard_masks(n: int, bits: int, radius: int) -> np.ndarray:
     """Masks whose bits make up the shard keys, for ``n`` fingerprints.
 
     Up to 64 bits and a radius of 3, every two fingerprints within the radius agree under some mask: each
-    is a choice of ``agree`` out of ``agree + 3`` bit blocks. Otherwise the masks are fixed random samples of about log2(n) + 2 bits.
+    is a choice of ``agree`` out of ``agree + 3`` bit blocks. Otherwise the masks are fixed random samples of about log2(n) + 2 bits,
+    and their number grows as they widen, so that the share of pairs that meet does not depend on n.
     """
     if bits == 64 and radius <= 3:
         blocks, agree = next((s for s in SCHEMES if n / 2.0 ** (64 * s[1] / s[0]) <= FULL), SCHEMES[-1])
@@ -180,7 +181,9 @@ def shard_masks(n: int, bits: int, radius: int) -> np.ndarray:
         return np.array([[sum(c)] for c in combinations(block, agree)], np.uint64)
     rng = np.random.default_rng(42)
     size = min(max(16, math.ceil(math.log2(max(n, 2))) + 2), bits // 4)
-    masks = np.zeros((SAMPLES, bits // 64), np.uint64)
+    agree = math.comb(bits - radius, size) / math.comb(bits, size)  # that a sample holds none of ``radius`` bits
+    samples = math.ceil(math.log(MISSED) / math.log1p(-agree)) if agree < 1 else 1
+    masks = np.zeros((samples, bits // 64), np.uint64)
     for m in masks:
         for i in rng.choice(bits, size, replace=False).tolist():
             m[i // 64] |= np.uint64(1 << (i % 64))
