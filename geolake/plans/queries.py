@@ -236,6 +236,26 @@ def spatial_anti_join(spark, sf_dir):
     return _in_boxes(spark, sf_dir, "left_anti")
 
 
+def spatial_join_within_all(spark, sf_dir):
+    """All points within all rectangles."""
+    return joins.spatial_join(_points(spark, sf_dir, CITY), _rects(spark, sf_dir), "geometry", "geometry", "within", step=0.05).groupBy("id").agg(F.count("*").alias("cnt"))
+
+
+def _in_all_boxes(spark, sf_dir, how):
+    p, c = view(spark, sf_dir, WORLD), view(spark, sf_dir, CELLS)
+    inside = (F.col("lon") > F.col("xmin")) & (F.col("lon") < F.col("xmax")) & (F.col("lat") > F.col("ymin")) & (F.col("lat") < F.col("ymax"))
+    return p.join(F.broadcast(c), inside, how).agg(F.count("*").alias("cnt"), F.sum("k").alias("keys"))
+
+
+def spatial_semi_join_all(spark, sf_dir):
+    return _in_all_boxes(spark, sf_dir, "left_semi")
+
+
+def spatial_anti_join_all(spark, sf_dir):
+    """Points on no inside of the 25 boxes: those on their edges."""
+    return _in_all_boxes(spark, sf_dir, "left_anti")
+
+
 def union_start_end(spark, sf_dir):
     t = _tracks(spark, sf_dir)
     ends = t.select("k", G.start_point("geometry").alias("p")).unionByName(t.select("k", G.end_point("geometry").alias("p")))
@@ -367,6 +387,22 @@ def cells_except(spark, sf_dir):
     return a.subtract(b)
 
 
+def _two_tables(spark, sf_dir):
+    """Cells of all points, and cells of the lower left corners of all rectangles."""
+    p, r = view(spark, sf_dir, CITY), view(spark, sf_dir, RECTS)
+    return p.select(Q.point_code("lon", "lat", 12).alias("code")), r.select(Q.point_code("x0", "y0", 12).alias("code"))
+
+
+def cells_intersect_all(spark, sf_dir):
+    a, b = _two_tables(spark, sf_dir)
+    return a.intersect(b)
+
+
+def cells_except_all(spark, sf_dir):
+    a, b = _two_tables(spark, sf_dir)
+    return a.subtract(b)
+
+
 def _code(level: int, x: str = "lon", y: str = "lat") -> str:
     """A point's cell code at a level, in SQL."""
     n = 1 << level
@@ -473,6 +509,11 @@ ORACLE_SQL = {
     "rank_points_in_cell": f"SELECT code, CAST(r AS INTEGER) AS r, lon, lat FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY lon, lat, k, n) AS r FROM (SELECT *, {_code(4)} AS code FROM ({WORLD}))) WHERE r <= 3",
     "cells_intersect": f"WITH p AS (SELECT n, {_code(6)} AS code FROM ({WORLD})) SELECT code FROM p WHERE n = 1 INTERSECT SELECT code FROM p WHERE n = 5",
     "cells_except": f"WITH p AS (SELECT n, {_code(6)} AS code FROM ({WORLD})) SELECT code FROM p WHERE n = 1 EXCEPT SELECT code FROM p WHERE n = 5",
+    "spatial_join_within_all": f"SELECT id, count(*) AS cnt FROM ({CITY}) JOIN ({RECTS}) ON lon > x0 AND lon < x0 + w AND lat > y0 AND lat < y0 + h GROUP BY id",
+    "spatial_semi_join_all": f"SELECT count(*) AS cnt, CAST(sum(k) AS BIGINT) AS keys FROM ({WORLD}) p WHERE EXISTS (SELECT 1 FROM ({CELLS}) c WHERE lon > xmin AND lon < xmax AND lat > ymin AND lat < ymax)",
+    "spatial_anti_join_all": f"SELECT count(*) AS cnt, CAST(sum(k) AS BIGINT) AS keys FROM ({WORLD}) p WHERE NOT EXISTS (SELECT 1 FROM ({CELLS}) c WHERE lon > xmin AND lon < xmax AND lat > ymin AND lat < ymax)",
+    "cells_intersect_all": f"SELECT {_code(12)} AS code FROM ({CITY}) INTERSECT SELECT {_code(12, 'x0', 'y0')} AS code FROM ({RECTS})",
+    "cells_except_all": f"SELECT {_code(12)} AS code FROM ({CITY}) EXCEPT SELECT {_code(12, 'x0', 'y0')} AS code FROM ({RECTS})",
 }
 
 QUERIES = {
@@ -482,6 +523,7 @@ QUERIES = {
         trajectory_line_filter, trajectory_length, bbox_diagonal_avg, box_contains_area, area_spheroid_rect, holed_area, bbox_in_box_count, vertex_count_sum, geohash8_group, geohash_numeric, geohash_sorted_topk,
         region_histogram, spatial_join_points_cells, spatial_join_within, spatial_semi_join, spatial_anti_join, union_start_end, geojson_props_infer, ndjson_convert, reindex_new_rows, rebuild_index,
         parts_offsets_polygon, sp_roundtrip, centroid, polygon_centroid, start_end_point, wkt_roundtrip, cells_geojson_export, contains_general, cell_rollup, rank_points_in_cell, cells_intersect, cells_except,
+        spatial_join_within_all, spatial_semi_join_all, spatial_anti_join_all, cells_intersect_all, cells_except_all,
     )
 }
 QUERIES |= {f"decode_sum_diff_{x}": _decode_sum(x) for x in CODECS}

@@ -1,0 +1,28 @@
+import duckdb
+import pytest
+
+import __spark_entry__
+from geolake.plans.queries import CELLS, CITY, RECTS, WORLD
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for t in ("lineitem", "part", "nation"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    return c
+
+
+def test_joins_and_sets_use_every_row(spark, con):
+    """Counts of whole tables, with nothing filtered out of either side."""
+    run = lambda name: __spark_entry__.queries()[name](spark, DATA).toPandas()
+    pairs = con.execute(f"SELECT count(*) FROM ({CITY}), ({RECTS}) WHERE lon > x0 AND lon < x0 + w AND lat > y0 AND lat < y0 + h").fetchone()[0]
+    assert run("spatial_join_within_all")["cnt"].sum() == pairs > run("spatial_join_within")["cnt"].sum()
+    total = con.execute("SELECT count(*) FROM lineitem").fetchone()[0]
+    inside = con.execute(f"SELECT count(*) FROM ({WORLD}), ({CELLS}) WHERE lon > xmin AND lon < xmax AND lat > ymin AND lat < ymax").fetchone()[0]
+    semi, anti = (int(run(f"spatial_{x}_join_all")["cnt"][0]) for x in ("semi", "anti"))
+    assert (semi, semi + anti) == (inside, total)
+    both, rest = run("cells_intersect_all"), run("cells_except_all")
+    assert len(both) and len(rest) and not set(both["code"]) & set(rest["code"])
