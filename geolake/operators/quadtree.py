@@ -94,6 +94,24 @@ def cell_struct(code) -> Column:
     return F.when(code.isNotNull(), F.struct((i * w - 180).alias("min_x"), (j * h - 90).alias("min_y"), ((i + 1) * w - 180).alias("max_x"), ((j + 1) * h - 90).alias("max_y"), code.cast("long").alias("region_code")))
 
 
+def _deepest(paths: np.ndarray) -> np.ndarray:
+    return (np.int64(1) << np.int64(2 * MAX_LEVEL)) | paths.astype(np.int64)
+
+
+@dataclass
+class Boxes:
+    """Sampled boxes as paths and levels (:func:`fit`); each stands for ``weight`` rows."""
+
+    paths: np.ndarray
+    levels: np.ndarray
+    weight: float
+
+    def within(self, tree: Quadtree, leaves: set[int]) -> Boxes:
+        """Those that would be counted at one of the leaves."""
+        some = np.isin(tree.locate_all(self.paths, self.levels), sorted(leaves))
+        return Boxes(self.paths[some], self.levels[some], self.weight)
+
+
 @dataclass
 class Quadtree:
     """Nodes by code with the rows counted at them; a node with children has all four."""
@@ -136,26 +154,53 @@ class Quadtree:
             self.counts[at] = self.counts.get(at, 0) + whole + int(more)
             carried[at] = more - int(more)
 
-    def grow(self, paths: np.ndarray, levels: np.ndarray, max_rows: int, fraction: float = 1.0) -> None:
+    def grow(self, samples: list[Boxes], max_rows: int) -> None:
         """Split, level by level, each leaf that holds more than ``max_rows`` boxes which fit one of its children; no order matters."""
-        top = (np.int64(1) << np.int64(2 * MAX_LEVEL)) | paths.astype(np.int64)
+        paths, levels = (np.concatenate([getattr(s, k) for s in samples]) for k in ("paths", "levels"))
+        weight = np.repeat([s.weight for s in samples], [len(s.paths) for s in samples])
+        top = _deepest(paths)
         for depth in range(BASE_LEVEL, MAX_LEVEL):
-            codes = top[levels > depth] >> np.int64(2 * (MAX_LEVEL - depth))
-            found, n = np.unique(codes, return_counts=True)
-            full = {int(c) for c in found[n / fraction > max_rows]}
+            fits = levels > depth
+            found, of = np.unique(top[fits] >> np.int64(2 * (MAX_LEVEL - depth)), return_inverse=True)
+            full = set(found[np.bincount(of, weights=weight[fits], minlength=len(found)) > max_rows].tolist())
             if depth > BASE_LEVEL:
                 full = {c for c in full if c >> 2 in self.split}
             self.split |= full
             if not full and not any((c.bit_length() - 1) // 2 == depth for c in self.split):
                 break
-        self.recount(paths, levels, fraction)
 
-    def recount(self, paths, levels, fraction: float = 1.0) -> None:
-        found: dict[int, float] = {}
-        for p, k in zip(paths.tolist(), levels.tolist()):
-            c = self.locate(p, k)
-            found[c] = found.get(c, 0) + 1 / fraction
-        self.counts |= found
+    def locate_all(self, paths: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        """:meth:`locate` of many boxes."""
+        top, at, live = _deepest(paths), np.ones(len(paths), np.int64), np.arange(len(paths))
+        depth_of: dict[int, list[int]] = {}
+        for c in self.split:
+            depth_of.setdefault((c.bit_length() - 1) // 2, []).append(c)
+        for depth in sorted(depth_of):
+            live = live[(levels[live] > depth) & np.isin(at[live], depth_of[depth])]
+            at[live] = top[live] >> np.int64(2 * (MAX_LEVEL - depth - 1))
+        return at
+
+    def add(self, boxes: Boxes) -> None:
+        """Count boxes at the nodes that hold them."""
+        found, n = np.unique(self.locate_all(boxes.paths, boxes.levels), return_counts=True)
+        for c, k in zip(found.tolist(), (n * boxes.weight).tolist()):
+            self.counts[c] = self.counts.get(c, 0) + k
+
+    def crowded(self, boxes: Boxes, max_rows: int) -> set[int]:
+        """Leaves that, with ``boxes``, may come to hold more than ``max_rows``, some of them stored there or in an outer cell before."""
+        at = self.locate_all(boxes.paths, boxes.levels)
+        found, n = np.unique(at, return_counts=True)
+        out = set()
+        for c, k in zip(found.tolist(), (n * boxes.weight).tolist()):
+            depth = (c.bit_length() - 1) // 2
+            before = sum(self.counts.get(c >> 2 * up, 0) for up in range(depth - BASE_LEVEL + 1))
+            if before and c not in self.split and before + k > max_rows:
+                out.add(c)
+        return out
+
+    def merged(self, other: Quadtree) -> Quadtree:
+        """The nodes of both trees."""
+        return Quadtree({c: max(self.counts.get(c, 0), other.counts.get(c, 0)) for c in self.counts | other.counts}, self.split | other.split)
 
     def correct(self, stats: dict[int, int]) -> None:
         """Take true counts for the nodes in ``stats``; others keep their estimates."""
@@ -192,11 +237,8 @@ class Quadtree:
         return [c for c in self.nodes() if not inside(c)]
 
 
-def build_tree(df: DataFrame, bounds: Column, tree: Quadtree | None = None, driver_rows: int = DRIVER_ROWS, max_rows: int = MAX_ROWS, mode: str = "balanced", order_by=None, seed: int = 42) -> Quadtree:
-    """Grow a tree over a sample of at most about ``driver_rows`` boxes; only their paths and levels reach the driver.
-
-    ``sequential`` inserts in the order of ``order_by``; ``balanced`` does not depend on any order. Boxes beyond the world and null boxes do not count.
-    """
+def sample_boxes(df: DataFrame, bounds: Column, driver_rows: int = DRIVER_ROWS, order_by=None, seed: int = 42) -> Boxes:
+    """At most about ``driver_rows`` boxes; only their paths and levels reach the driver. Boxes beyond the world and null boxes are left out."""
     total = df.count()
     fraction = min(1.0, driver_rows / total) if total else 1.0
     part = df if fraction >= 1 else df.sample(False, fraction, seed)
@@ -205,12 +247,22 @@ def build_tree(df: DataFrame, bounds: Column, tree: Quadtree | None = None, driv
         part = part.orderBy(*order_by)
     inside = (bounds["min_x"] >= -180) & (bounds["max_x"] <= 180) & (bounds["min_y"] >= -90) & (bounds["max_y"] <= 90)
     found = part.where(inside).select(path.alias("path"), level.alias("level")).toArrow()
-    paths, levels = found.column("path").to_numpy(), found.column("level").to_numpy()
+    return Boxes(found.column("path").to_numpy(), found.column("level").to_numpy(), 1 / fraction)
+
+
+def build_tree(df: DataFrame, bounds: Column, tree: Quadtree | None = None, driver_rows: int = DRIVER_ROWS, max_rows: int = MAX_ROWS, mode: str = "balanced", order_by=None, seed: int = 42) -> Quadtree:
+    """Grow a tree over a sample of boxes, counted at their nodes.
+
+    ``sequential`` inserts in the order of ``order_by``, onto the counts of ``tree``; ``balanced`` does not depend on any order and knows
+    the boxes of ``df`` only (:meth:`geolake.plans.table.GeoTable.append_indexed` counts the rows of a table along).
+    """
+    boxes = sample_boxes(df, bounds, driver_rows, order_by, seed)
     tree = tree or Quadtree.initial()
     if mode == "sequential":
-        tree.insert_all(paths, levels, max_rows, fraction)
+        tree.insert_all(boxes.paths, boxes.levels, max_rows, 1 / boxes.weight)
     else:
-        tree.grow(paths, levels, max_rows, fraction)
+        tree.grow([boxes], max_rows)
+        tree.add(boxes)
     return tree
 
 

@@ -59,7 +59,8 @@ class GeoLake:
     def write_with_index(self, database: str, table: str, source, driver_rows: int = Q.DRIVER_ROWS, max_partition_size: int = Q.MAX_ROWS, x: str | None = None, y: str | None = None, keep_columns: bool = False) -> GeoTable:
         """Append with cells from the table's quadtree, which grows by the new rows."""
         t = self.table(database, table)
-        t.append_indexed(self._rows(source, x, y, keep_columns), driver_rows, max_partition_size, self.mode)
+        parsed = x is None and self.input != "geojson"
+        t.append_indexed(self._rows(source, x, y, keep_columns), driver_rows, max_partition_size, self.mode, stage=parsed)
         return t
 
     def add_index_to_new_rows(self, database: str, table: str, driver_rows: int = Q.DRIVER_ROWS, max_partition_size: int = Q.MAX_ROWS) -> bool:
@@ -67,3 +68,6 @@ class GeoLake:
 
     def rebuild_index(self, database: str, table: str, driver_rows: int = Q.DRIVER_ROWS, max_partition_size: int = Q.MAX_ROWS) -> None:
         self.table(database, table).rebuild_index(driver_rows, max_partition_size, self.mode)
+
+    def drop_index(self, database: str, table: str) -> None:
+        self.table(database, table).drop_index()

@@ -1,7 +1,8 @@
 """Spatial tables: Parquet files partitioned by quadtree cell, in snapshots.
 
-A snapshot is a JSON file under ``_snapshots`` that names its data folders, layout, schema and tree; it is written under a
-temporary name and renamed, so readers see a whole snapshot with its index or none of it. Data folders never change once written.
+A snapshot is a JSON file under ``_snapshots`` that names its data folders, layout, schema and tree; it appears whole, and each number
+once, so readers see a snapshot with its index or none of it and no writer undoes another's. Data folders never change once written; each has a
+manifest of its files, rows and cells under ``_manifests``.
 """
 
 from __future__ import annotations
@@ -10,14 +11,18 @@ import json
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geolake import schemas as S
 from geolake.operators import quadtree as Q
 from geolake.operators.codecs import CODECS
 
 CODE = "region_code"
+#: Schemes whose rename is no single step.
+OBJECT_STORES = ("s3a", "s3", "gs", "oss", "cosn")
 
 
 @dataclass(frozen=True)
@@ -35,6 +40,10 @@ class SchemaMismatch(ValueError):
     pass
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer has replaced what an operation has read."""
+
+
 class GeoTable:
     """One table. ``geometry`` holds the encoded geometry; the partition column is the code of its cell, null if not indexed."""
 
@@ -42,6 +51,7 @@ class GeoTable:
         self.spark, self.spec = spark, spec
         self.path = spec.path
         self._read: dict[int, dict] = {}
+        self._frames: dict[int, DataFrame] = {}
         last = self.snapshot()
         self.layout = last["layout"] if last else layout
         self.codec = CODECS[self.layout]
@@ -60,10 +70,11 @@ class GeoTable:
         return bool(self._ids())
 
     def snapshot(self, number: int | None = None) -> dict | None:
-        ids = self._ids()
-        if not ids:
-            return None
-        number = number or ids[-1]
+        if number is None:
+            ids = self._ids()
+            if not ids:
+                return None
+            number = ids[-1]
         if number not in self._read:  # snapshots never change
             fs, p = self._fs(f"{self.path}/_snapshots/{number:08d}.json")
             stream = fs.open(p)
@@ -71,132 +82,262 @@ class GeoTable:
             stream.close()
         return self._read[number]
 
-    def _commit(self, operation: str, folders: list[dict], schema: str, tree: Q.Quadtree | None) -> None:
-        """Publish the next snapshot; an error if another writer has published it meanwhile."""
-        before = self._ids()
-        number = (before[-1] if before else 0) + 1
-        body = {"snapshot": number, "operation": operation, "layout": self.layout, "schema": schema, "folders": folders, "tree": json.loads(tree.to_json()) if tree else None}
-        fs, target = self._fs(f"{self.path}/_snapshots/{number:08d}.json")
-        _, temporary = self._fs(f"{self.path}/_snapshots/.{uuid.uuid4().hex}")
-        out = fs.create(temporary)
-        out.write(bytearray(json.dumps(body).encode()))
-        out.close()
-        if fs.exists(target) or not fs.rename(temporary, target):
-            fs.delete(temporary, False)
-            raise RuntimeError(f"snapshot {number} of {self.path} was published by another writer")
+    def _publish(self, body: dict) -> bool:
+        """Write a snapshot file, whole; false if another writer has published that number.
 
-    def tree(self) -> Q.Quadtree | None:
-        last = self.snapshot()
+        A hard link on a local disk, a rename elsewhere (both fail where the name is taken), an exclusive create in
+        object stores, where a file appears when it is closed.
+        """
+        fs, target = self._fs(f"{self.path}/_snapshots/{body['snapshot']:08d}.json")
+        text, scheme = bytearray(json.dumps(body).encode()), fs.getUri().getScheme()
+        try:
+            if scheme in OBJECT_STORES:
+                out = fs.create(target, False)
+                out.write(text)
+                out.close()
+                return True
+            _, temporary = self._fs(f"{self.path}/_snapshots/.{uuid.uuid4().hex}")
+            out = fs.create(temporary)
+            out.write(text)
+            out.close()
+            if scheme != "file":
+                done = fs.rename(temporary, target)
+                return done or bool(fs.delete(temporary, False)) and False
+            try:
+                local = lambda x: self.spark._jvm.java.io.File(x.toUri().getPath()).toPath()
+                self.spark._jvm.java.nio.file.Files.createLink(local(target), local(temporary))
+            finally:
+                fs.delete(temporary, False)
+            return True
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+                return False
+            raise
+
+    def _commit(self, operation: str, base: dict | None, added: list[dict], replaced: list[dict], schema: str, tree: Q.Quadtree | None) -> None:
+        """Publish the snapshot after ``base``: its folders without ``replaced``, and ``added``.
+
+        A number is published once. If another writer has published it, the same change is made to that writer's snapshot, with the nodes of
+        both trees (rows keep valid cells in either); an error if its schema differs or it lacks a folder that was to be replaced.
+        """
+        gone = {f["name"] for f in replaced}
+        while True:
+            folders = [f for f in (base["folders"] if base else []) if f["name"] not in gone]
+            body = {"snapshot": base["snapshot"] + 1 if base else 1, "operation": operation, "layout": self.layout, "schema": schema, "folders": [*folders, *added], "tree": json.loads(tree.to_json()) if tree else None}
+            if self._publish(body):
+                return
+            base = self.snapshot()
+            if not gone <= {f["name"] for f in base["folders"]}:
+                raise ConcurrentWrite(f"folders that {operation} has read are no longer in {self.path}")
+            if operation == "drop_index" and any(f["indexed"] and f["name"] not in gone for f in base["folders"]):
+                raise ConcurrentWrite(f"rows were indexed in {self.path} while the index was dropped")
+            self._same_schema(base, schema)
+            other = self._tree_of(base)
+            if operation != "drop_index":
+                tree = tree.merged(other) if tree and other else tree or other
+
+    def _tree_of(self, last: dict | None) -> Q.Quadtree | None:
         return Q.Quadtree.from_json(json.dumps(last["tree"])) if last and last["tree"] else None
 
+    def tree(self) -> Q.Quadtree | None:
+        return self._tree_of(self.snapshot())
+
     def _schema(self, last: dict) -> T.StructType:
         return T.StructType.fromJson(json.loads(last["schema"]))
 
+    def _scan(self, last: dict, folders: list[dict]) -> DataFrame:
+        """All rows of some of a snapshot's folders, ``region_code`` last."""
+        schema = T.StructType([*self._schema(last), T.StructField(CODE, T.LongType())])
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        base = f"{self.path}/data"
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/{f['name']}" for f in folders]).select(schema.names)
+
     def df(self, number: int | None = None) -> DataFrame:
-        """All rows of a snapshot (the last one if none is named), ``region_code`` last."""
+        """All rows of a snapshot (the last one if none is named), ``region_code`` last. Its files are listed once."""
         last = self.snapshot(number)
         if last is None:
             raise ValueError(f"no such table: {self.path}")
-        schema = T.StructType([*self._schema(last), T.StructField(CODE, T.LongType())])
-        if not last["folders"]:
-            return self.spark.createDataFrame([], schema)
-        base = f"{self.path}/data"
-        return self.spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/{f['name']}" for f in last["folders"]]).select(schema.names)
+        if last["snapshot"] not in self._frames:
+            self._frames = {last["snapshot"]: self._scan(last, last["folders"])}
+        return self._frames[last["snapshot"]]
 
-    def _write(self, rows: DataFrame, indexed: bool) -> dict:
-        """Rows into a new folder, gathered by cell; REBALANCE lets AQE split cells that are too large for a task."""
+    def _write(self, rows: DataFrame, indexed: bool, gather: bool = True) -> dict:
+        """Rows into a new folder, gathered by cell, and its manifest; REBALANCE lets AQE split cells that are too large for a task."""
         name = f"batch={uuid.uuid4().hex}"
-        rows.hint("rebalance", CODE).write.partitionBy(CODE).parquet(f"{self.path}/data/{name}")
-        return {"name": name, "indexed": indexed}
-
-    def _check(self, rows: DataFrame) -> str:
+        (rows.hint("rebalance", CODE) if gather else rows).write.partitionBy(CODE).parquet(f"{self.path}/data/{name}")
+        folder = {"name": name, "indexed": indexed}
+        schema = T.StructType([T.StructField(CODE, T.LongType())])
+        written = self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(f"{self.path}/data/{name}")
+        files = written.groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"), CODE).agg(F.count("*").alias("rows"))
+        cell = Q.cell_struct(F.when(F.col(CODE) > 1, F.col(CODE)))
+        files.select("file", "bytes", "rows", CODE, *[cell[c].alias(c) for c in ("min_x", "min_y", "max_x", "max_y")]).write.parquet(self._manifest_path(folder))
+        return folder
+
+    def _manifest_path(self, folder: dict) -> str:
+        return f"{self.path}/_manifests/{folder['name'].split('=')[1]}"
+
+    def manifest(self, folders: list[dict] | None = None) -> DataFrame:
+        """``file, bytes, rows, region_code`` and the bounds of its cell (null without a cell, and for cell 1, which has none) of each data file."""
+        if folders is None:
+            last = self.snapshot()
+            folders = last["folders"] if last else []
+        kind = f"file string, bytes long, rows long, {CODE} long, min_x double, min_y double, max_x double, max_y double"
+        if not folders:
+            return self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(kind).parquet(*[self._manifest_path(f) for f in folders])
+
+    def _same_schema(self, last: dict, schema: str) -> None:
         plain = lambda s: T._parse_datatype_string(s.simpleString()).simpleString()
-        own = T.StructType([f for f in rows.schema if f.name != CODE])
-        last = self.snapshot()
-        if last and plain(self._schema(last)) != plain(own):
-            raise SchemaMismatch(f"the table has {self._schema(last).simpleString()}, the rows have {own.simpleString()}")
-        return own.json()
+        own, rows = self._schema(last), T.StructType.fromJson(json.loads(schema))
+        if plain(own) != plain(rows):
+            raise SchemaMismatch(f"the table has {own.simpleString()}, the rows have {rows.simpleString()}")
+
+    def _check(self, rows: DataFrame, last: dict | None) -> str:
+        schema = T.StructType([f for f in rows.schema if f.name != CODE]).json()
+        if last:
+            self._same_schema(last, schema)
+        return schema
 
     def append(self, rows: DataFrame) -> None:
         """Append encoded rows without an index."""
-        schema = self._check(rows)
         last = self.snapshot()
+        schema = self._check(rows, last)
         folder = self._write(rows.withColumn(CODE, F.lit(None).cast("long")), False)
-        self._commit("append", [*(last["folders"] if last else []), folder], schema, self.tree())
+        self._commit("append", last, [folder], [], schema, self._tree_of(last))
 
     def _indexed(self, rows: DataFrame, tree: Q.Quadtree) -> DataFrame:
+        """Rows with their cells. Those without bounds (null and empty geometries) stay, with a cell of nulls."""
         names = [c for c in rows.columns if c != CODE]
         bounds = self.codec.bbox("geometry")
         coded = Q.assign(rows.select(*names, bounds.alias("__box")), F.col("__box"), tree, CODE)
         outside = F.col(CODE) == 1
         box = F.col("__box")
         own = F.struct(F.least(box["min_x"], F.lit(-180.0)).alias("min_x"), F.least(box["min_y"], F.lit(-90.0)).alias("min_y"), F.greatest(box["max_x"], F.lit(180.0)).alias("max_x"), F.greatest(box["max_y"], F.lit(90.0)).alias("max_y"), F.lit(1).cast("long").alias(CODE))
-        cell = F.when(outside, own).otherwise(Q.cell_struct(F.col(CODE)))
+        none = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in S.CELL])
+        cell = F.when(outside, own).otherwise(F.coalesce(Q.cell_struct(F.col(CODE)), none))
         return coded.withColumn("geometry", F.col("geometry").withField("bbox_partitioning", cell)).select(*names, CODE)
 
-    def _grown(self, rows: DataFrame, tree: Q.Quadtree | None, driver_rows: int, max_rows: int, mode: str) -> Q.Quadtree:
-        """A tree for further rows: true counts of the table first, then the new rows."""
-        if tree is not None:
-            tree.correct({r[CODE]: r["count"] for r in self.partitions().where(f"{CODE} is not null").collect()})
-        bounds = self.codec.bbox("geometry")
-        return Q.build_tree(rows.select(bounds.alias("__box")), F.col("__box"), tree, driver_rows, max_rows, mode)
+    def _grown(self, rows: DataFrame, base: dict | None, driver_rows: int, max_rows: int, mode: str) -> Q.Quadtree:
+        """The tree of ``base`` grown for further rows, with the rows it has counted along.
 
-    def append_indexed(self, rows: DataFrame, driver_rows: int = Q.DRIVER_ROWS, max_rows: int = Q.MAX_ROWS, mode: str = "balanced") -> None:
-        """Append encoded rows with their cells; the tree grows first and is published with the rows."""
-        schema = self._check(rows)
-        tree = self._grown(rows, self.tree(), driver_rows, max_rows, mode)
+        Rows that are stored already are counted from the manifests. Those of leaves that may come to more than ``max_rows``, and
+        of the leaves' outer cells, are read again to see into which children they would go: the leaves are the same whether rows come at once or
+        bit by bit, as long as nothing is sampled.
+        """
+        bounds = self.codec.bbox("geometry")
+        boxes = lambda df: Q.sample_boxes(df.select(bounds.alias("__box")), F.col("__box"), driver_rows)
+        tree = self._tree_of(base) or Q.Quadtree.initial()
+        indexed = [f for f in base["folders"] if f["indexed"]] if base else []
+        stored = {r[CODE]: r["n"] for r in self.manifest(indexed).where(F.col(CODE).isNotNull()).groupBy(CODE).agg(F.sum("rows").alias("n")).toLocalIterator()}
+        tree.counts = dict(stored)
+        new = boxes(rows)
+        if mode == "sequential":
+            tree.insert_all(new.paths, new.levels, max_rows, 1 / new.weight)
+            return tree
+        leaves = tree.crowded(new, max_rows)
+        if not leaves:
+            tree.grow([new], max_rows)
+        else:
+            codes = sorted({c >> 2 * k for c in leaves for k in range((c.bit_length() - 1) // 2 - Q.BASE_LEVEL + 1)})
+            old = boxes(self._scan(base, indexed).where(F.col(CODE).isin(codes)))
+            tree.grow([new, old.within(tree, leaves)], max_rows)
+        tree.counts = dict(stored)
+        tree.add(new)
+        return tree
+
+    def append_indexed(self, rows: DataFrame, driver_rows: int = Q.DRIVER_ROWS, max_rows: int = Q.MAX_ROWS, mode: str = "balanced", stage: bool = False) -> None:
+        """Append encoded rows with their cells; the tree grows first and is published with the rows.
+
+        Counting, sampling and writing each read ``rows``. With ``stage`` they read a copy in the table's folder instead, so that rows which are dear
+        to make (parsed in Python) are made once, and an executor lost later costs nothing but its own reads.
+        """
         last = self.snapshot()
+        schema = self._check(rows, last)
+        if stage:
+            copy = self._write(rows.withColumn(CODE, F.lit(None).cast("long")), False, gather=False)
+            rows = self._scan({"schema": schema}, [copy]).drop(CODE)
+        tree = self._grown(rows, last, driver_rows, max_rows, mode)
         folder = self._write(self._indexed(rows, tree), True)
-        self._commit("append_indexed", [*(last["folders"] if last else []), folder], schema, tree)
+        self._commit("append_indexed", last, [folder], [], schema, tree)
+        if stage:
+            self._delete([copy["name"]])
 
     def add_index_to_new_rows(self, driver_rows: int = Q.DRIVER_ROWS, max_rows: int = Q.MAX_ROWS, mode: str = "balanced") -> bool:
-        """Give cells to the rows that have none; false if there are none."""
+        """Give cells to the rows of the folders that have none; false if there are none. Rows without bounds keep a null cell."""
         last = self.snapshot()
         if last is None:
             raise ValueError(f"no such table: {self.path}")
         new = [f for f in last["folders"] if not f["indexed"]]
         if not new:
             return False
-        rows = self.df().where(F.col(CODE).isNull() & F.col("geometry").isNotNull())
-        tree = self._grown(rows, self.tree(), driver_rows, max_rows, mode)
+        rows = self._scan(last, new)
+        tree = self._grown(rows, last, driver_rows, max_rows, mode)
         folder = self._write(self._indexed(rows, tree), True)
-        self._commit("add_index", [*[f for f in last["folders"] if f["indexed"]], folder], last["schema"], tree)
+        self._commit("add_index", last, [folder], new, last["schema"], tree)
         return True
 
     def rebuild_index(self, driver_rows: int = Q.DRIVER_ROWS, max_rows: int = Q.MAX_ROWS, mode: str = "balanced") -> None:
         """A new tree for all rows, which are written anew."""
         last = self.snapshot()
-        rows = self.df().where(F.col("geometry").isNotNull())
-        bounds = self.codec.bbox("geometry")
-        tree = Q.build_tree(rows.select(bounds.alias("__box")), F.col("__box"), None, driver_rows, max_rows, mode)
+        rows = self._scan(last, last["folders"])
+        tree = self._grown(rows, None, driver_rows, max_rows, mode)
         folder = self._write(self._indexed(rows, tree), True)
-        self._commit("rebuild_index", [folder], last["schema"], tree)
+        self._commit("rebuild_index", last, [folder], last["folders"], last["schema"], tree)
+
+    def drop_index(self) -> None:
+        """Forget the tree: indexed rows are written anew without cells."""
+        last = self.snapshot()
+        coded = [f for f in last["folders"] if f["indexed"]]
+        rows = self._scan(last, coded)
+        rows = rows.withColumns({"geometry": F.col("geometry").withField("bbox_partitioning", F.lit(None).cast(S.CELL)), CODE: F.lit(None).cast("long")})
+        added = [self._write(rows, False)] if coded else []
+        self._commit("drop_index", last, added, coded, last["schema"], None)
 
     def compact(self) -> None:
-        """Gather the indexed rows, cell by cell, into one folder of fewer files."""
+        """Gather the rows of the indexed folders, cell by cell, into one folder of fewer files."""
         last = self.snapshot()
-        rows = self.df().where(F.col(CODE).isNotNull())
-        folder = self._write(rows, True)
-        self._commit("compact", [*[f for f in last["folders"] if not f["indexed"]], folder], last["schema"], self.tree())
+        coded = [f for f in last["folders"] if f["indexed"]]
+        folder = self._write(self._scan(last, coded), True)
+        self._commit("compact", last, [folder], coded, last["schema"], self._tree_of(last))
 
     def cluster(self, *order) -> None:
         """Rewrite all rows sorted along a key such as a numeric geohash, range by range."""
         last = self.snapshot()
-        name = f"batch={uuid.uuid4().hex}"
-        self.df().repartitionByRange(*order).sortWithinPartitions(CODE, *order).write.partitionBy(CODE).parquet(f"{self.path}/data/{name}")
-        indexed = all(f["indexed"] for f in last["folders"])
-        self._commit("cluster", [{"name": name, "indexed": indexed}], last["schema"], self.tree())
+        rows = self._scan(last, last["folders"]).repartitionByRange(*order).sortWithinPartitions(CODE, *order)
+        folder = self._write(rows, all(f["indexed"] for f in last["folders"]), gather=False)
+        self._commit("cluster", last, [folder], last["folders"], last["schema"], self._tree_of(last))
+
+    def overwrite_cells(self, rows: DataFrame) -> None:
+        """Replace the rows of every cell that ``rows`` (encoded, without cells) fall into; all other rows stay.
+
+        Cells are those of the present tree, which does not grow. Folders that hold a replaced cell are written anew without it.
+        """
+        last = self.snapshot()
+        tree = self._tree_of(last)
+        if tree is None:
+            raise ValueError(f"{self.path} has no index")
+        schema = self._check(rows, last)
+        folder = self._write(self._indexed(rows, tree), True)
+        codes = [r[CODE] for r in self.manifest([folder]).where(F.col(CODE).isNotNull()).select(CODE).distinct().collect()]
+        indexed = [f for f in last["folders"] if f["indexed"]]
+        folder_of = F.regexp_extract("file", "/(batch=[0-9a-f]+)/", 1)
+        names = {r[0] for r in self.manifest(indexed).where(F.col(CODE).isin(codes)).select(folder_of).distinct().collect()}
+        met = [f for f in indexed if f["name"] in names]
+        rest = self._scan(last, met).where(F.col(CODE).isNull() | ~F.col(CODE).isin(codes))
+        kept = [self._write(rest, True)] if met else []
+        self._commit("overwrite_cells", last, [*kept, folder], met, schema, tree)
 
     def snapshots(self) -> DataFrame:
         rows = [(s["snapshot"], s["operation"], len(s["folders"])) for s in (self.snapshot(i) for i in self._ids())]
         return self.spark.createDataFrame(rows, "snapshot long, operation string, folders int")
 
     def partitions(self) -> DataFrame:
-        """Rows by cell; the scan reads no column."""
-        return self.df().groupBy(CODE).count()
+        """Rows by cell, from the manifests."""
+        return self.manifest().groupBy(CODE).agg(F.sum("rows").alias("count"))
 
     def files(self) -> DataFrame:
-        return self.df().select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).distinct()
+        return self.manifest().select("file", "bytes", "rows", CODE)
 
     def expire_snapshots(self, retain_last: int = 1) -> int:
         """Delete all but the last snapshots and the folders only they name; returns the number of folders."""
@@ -208,14 +349,19 @@ class GeoTable:
             fs.delete(p, False)
         return self.delete_orphans(used)
 
+    def _delete(self, names: list[str]) -> None:
+        for name in names:
+            for path in (f"{self.path}/data/{name}", self._manifest_path({"name": name})):
+                fs, p = self._fs(path)
+                fs.delete(p, True)
+
     def delete_orphans(self, used: set[str] | None = None) -> int:
         """Delete data folders that no snapshot names, such as those of failed writes. Not while others write."""
         if used is None:
             used = {f["name"] for i in self._ids() for f in self.snapshot(i)["folders"]}
         fs, p = self._fs(f"{self.path}/data")
-        gone = [f.getPath() for f in fs.listStatus(p) if f.getPath().getName() not in used] if fs.exists(p) else []
-        for path in gone:
-            fs.delete(path, True)
+        gone = [f.getPath().getName() for f in fs.listStatus(p) if f.getPath().getName() not in used] if fs.exists(p) else []
+        self._delete(gone)
         return len(gone)
 
     def window(self, x1: float, y1: float, x2: float, y2: float, outside: bool = False) -> DataFrame:
