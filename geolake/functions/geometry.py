@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from geolake import schemas as S
-from geolake.functions import shapes
+from geolake.functions import shapes, wkb
 
 def no_cell() -> Column:
     return F.lit(None).cast(S.CELL)
@@ -327,7 +327,7 @@ def st_as_wkb(g) -> Column:
     higher-order functions, so a computed geometry such as a centroid is to be stored in a table or cache first."""
 
     def run(g: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else shapes.to_wkb(shapes.unflat(v["type"], v["x"], v["y"], v["parts"])) for v in g.to_pylist()], pa.binary())
+        return wkb.write(g)
 
     run.__annotations__ = {"g": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "binary")(col(g))

@@ -10,6 +10,7 @@ import struct
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 from geolake import schemas as S
 from geolake.functions import geometry as G
-from geolake.functions import shapes
+from geolake.functions import shapes, wkb
 
 _PARTED = (S.POLYGON, S.MULTILINE, S.MULTIPOLYGON)
 
@@ -62,12 +63,25 @@ def parse(c, source: str, layout: str = "fsp", on_error: str = "null", precision
             return None
 
     def run(c: pa.Array) -> pa.Array:
-        return pa.array([one(v) for v in c.to_pylist()], arrow)
+        if source == "wkt" or layout not in ("fsp", "nfsp"):
+            return pa.array([one(v) for v in c.to_pylist()], arrow)
+        found = wkb.read(c, on_error if layout == "fsp" else "null")
+        out = found.to_arrow(arrow)
+        if layout == "fsp" or not len(found.odd):
+            return out
+        return _patched(out, found.odd, pa.array([one(v) for v in c.take(pa.array(found.odd)).to_pylist()], arrow))
 
     run.__annotations__ = {"c": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, kind)(G.col(c))
 
 
+def _patched(column: pa.Array, rows, values: pa.Array) -> pa.Array:
+    """``column`` with other values in some rows."""
+    order = np.arange(len(column))
+    order[rows] = len(column) + np.arange(len(values))
+    return pa.concat_arrays([column, values]).take(pa.array(order))
+
+
 def with_cell(g: Column, cell: Column | None = None) -> Column:
     return F.when(g.isNotNull(), g.withField("bbox_partitioning", G.no_cell() if cell is None else cell))
 
@@ -220,7 +234,11 @@ def wkb_bbox(c: Column) -> Column:
         return dict(zip(names, (min(x), min(y), max(x), max(y)))) if x and y else dict.fromkeys(names)
 
     def run(c: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else one(v) for v in c.to_pylist()], arrow)
+        found = wkb.read(c)
+        out = pa.StructArray.from_arrays([pa.array(v, from_pandas=True) for v in found.bounds()], fields=list(arrow), mask=c.is_null())
+        if not len(found.odd):
+            return out
+        return _patched(out, found.odd, pa.array([one(v) for v in c.take(pa.array(found.odd)).to_pylist()], arrow))
 
     run.__annotations__ = {"c": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, T.StructType([T.StructField(n, T.DoubleType()) for n in names]))(c)
