@@ -254,8 +254,31 @@ class Envelope(NamedTuple):
         return st_polygon_from_envelope(*self)
 
 
-def st_contains(a, b) -> Column:
-    """Whether ``a`` contains ``b``: nothing of b outside, some of it inside. An :class:`Envelope` needs comparisons only."""
+def point_place(g, x: Column, y: Column) -> Column:
+    """1 if a point lies inside polygon(s), 0 on an edge, -1 outside: the crossings of a ray to the right, ring by ring."""
+    g = col(g)
+
+    def crossed(side, i):
+        x1, y1, x2, y2 = F.get(g["x"], i), F.get(g["y"], i), F.get(g["x"], i + 1), F.get(g["y"], i + 1)
+        turn = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+        on = (turn == 0) & (x >= F.least(x1, x2)) & (x <= F.greatest(x1, x2)) & (y >= F.least(y1, y2)) & (y <= F.greatest(y1, y2))
+        over = ((y1 > y) != (y2 > y)) & ((turn > 0) == (y2 > y1))
+        return F.when(on, 0).when(over, -side).otherwise(side)
+
+    def ring(state, r):
+        side = F.aggregate(_steps(r), F.lit(-1), crossed)
+        here = F.when(r["hole"] & (state["here"] >= 0), F.least(state["here"], -side)).when(r["hole"], state["here"]).otherwise(side)
+        return F.struct(F.when(r["hole"], state["best"]).otherwise(F.greatest(state["best"], state["here"])).alias("best"), here.alias("here"))
+
+    return F.aggregate(runs(g), F.struct(F.lit(-1).alias("best"), F.lit(-1).alias("here")), ring, lambda s: F.greatest(s["best"], s["here"]))
+
+
+def st_contains(a, b, points: bool = False) -> Column:
+    """Whether polygon(s) ``a`` contain ``b``: nothing of b outside, some of it inside; null if ``a`` is of another type.
+
+    An :class:`Envelope` needs comparisons only, a single point ray crossings; other geometries are compared in Python. Say
+    ``points`` if there are points only: the plan then has no Python step (and other geometries give false).
+    """
     if isinstance(a, Envelope):
         x1, y1, x2, y2 = (F.lit(v) if not isinstance(v, Column | str) else col(v) for v in a)
         inside = (st_x_min(b) >= x1) & (st_x_max(b) <= x2) & (st_y_min(b) >= y1) & (st_y_max(b) <= y2)
@@ -272,12 +295,18 @@ def st_contains(a, b) -> Column:
 
     run.__annotations__ = {"outer": pa.Array, "inner": pa.Array, "return": pa.Array}
     a, b = col(a), col(b)
+    known = kind(a).isin(S.POLYGON, S.MULTIPOLYGON) & b.isNotNull()
     near = (st_x_min(b) >= st_x_min(a)) & (st_x_max(b) <= st_x_max(a)) & (st_y_min(b) >= st_y_min(a)) & (st_y_max(b) <= st_y_max(a))
-    return near & F.arrow_udf(run, "boolean")(a, b)
+    dot = (kind(b) == S.POINT) & (point_place(a, F.get(b["x"], F.lit(0)), F.get(b["y"], F.lit(0))) > 0)
+    if points:
+        return F.when(known, F.coalesce(near & dot, F.lit(False)))
+    other = known & (kind(b) != S.POINT)
+    slow = F.arrow_udf(run, "boolean")(F.when(other, a), F.when(other, b))
+    return F.when(known, F.coalesce(near & F.when(kind(b) == S.POINT, dot).otherwise(slow), F.lit(False)))
 
 
-def st_within(a, b) -> Column:
-    return st_contains(b, a)
+def st_within(a, b, points: bool = False) -> Column:
+    return st_contains(b, a, points)
 
 
 def st_as_geojson(g) -> Column:

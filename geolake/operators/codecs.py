@@ -47,32 +47,38 @@ def parse(c, source: str, layout: str = "fsp", on_error: str = "null", precision
     ``precision='single'`` rounds WKT coordinates to 32-bit floats. Spark plans no higher-order function right over a Python function:
     put the result into a column (withColumn) before measuring it.
     """
-    read = {"wkb": lambda v: shapes.from_wkb(bytes(v)), "wkt": shapes.from_wkt, "stored_wkb": lambda v: shapes.from_wkb(bytes(v))}[source]
     kind = S.LAYOUTS[layout]
-    arrow = _arrow(kind)
+    text = (lambda v: _single(shapes.from_wkt(v))) if precision == "single" else shapes.from_wkt
+
+    def run(c: pa.Array) -> pa.Array:
+        return to_layout_column(c, "wkb" if source == "wkb" else text, layout, on_error)
+
+    run.__annotations__ = {"c": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, kind)(G.col(c))
+
+
+def to_layout_column(c: pa.Array, read, layout: str, on_error: str = "null") -> pa.Array:
+    """A column of texts that ``read`` parses, or of WKB (``read="wkb"``), as structs of a layout."""
+    arrow = _arrow(S.LAYOUTS[layout])
+    parse_one = (lambda v: shapes.from_wkb(bytes(v))) if read == "wkb" else read
 
     def one(v):
         if v is None:
             return None
         try:
-            shape = read(v)
-            return shapes.to_layout(_single(shape) if precision == "single" and source == "wkt" else shape, layout)
+            return shapes.to_layout(parse_one(v), layout)
         except Exception:
             if on_error == "raise":
                 raise
             return None
 
-    def run(c: pa.Array) -> pa.Array:
-        if source == "wkt" or layout not in ("fsp", "nfsp"):
-            return pa.array([one(v) for v in c.to_pylist()], arrow)
-        found = wkb.read(c, on_error if layout == "fsp" else "null")
-        out = found.to_arrow(arrow)
-        if layout == "fsp" or not len(found.odd):
-            return out
-        return _patched(out, found.odd, pa.array([one(v) for v in c.take(pa.array(found.odd)).to_pylist()], arrow))
-
-    run.__annotations__ = {"c": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, kind)(G.col(c))
+    if read != "wkb" or layout not in ("fsp", "nfsp"):
+        return pa.array([one(v) for v in c.to_pylist()], arrow)
+    found = wkb.read(c, on_error if layout == "fsp" else "null")
+    out = found.to_arrow(arrow)
+    if layout == "fsp" or not len(found.odd):
+        return out
+    return _patched(out, found.odd, pa.array([one(v) for v in c.take(pa.array(found.odd)).to_pylist()], arrow))
 
 
 def _patched(column: pa.Array, rows, values: pa.Array) -> pa.Array:
@@ -220,28 +226,35 @@ class Codec:
         return self.encode(G.st_point(x, y))
 
 
-def wkb_bbox(c: Column) -> Column:
-    """Bounds of WKB of any type, collections included; what cannot be read has none."""
-    names = ("min_x", "min_y", "max_x", "max_y")
-    arrow = pa.struct([(n, pa.float64()) for n in names])
+_BOUNDS = pa.struct([(n, pa.float64()) for n in ("min_x", "min_y", "max_x", "max_y")])
+
+
+def wkb_bounds(c: pa.Array) -> pa.Array:
+    """Bounds of a WKB column; of collections row by row."""
 
     def one(v):
         try:
             _, x, y, _, _ = shapes.nested(shapes.from_wkb(bytes(v)))
         except Exception:
-            return dict.fromkeys(names)
+            x = y = []
         x, y = [a for a in x if a == a], [a for a in y if a == a]
-        return dict(zip(names, (min(x), min(y), max(x), max(y)))) if x and y else dict.fromkeys(names)
+        return dict(zip(_BOUNDS.names, (min(x), min(y), max(x), max(y)) if x and y else (None,) * 4))
+
+    found = wkb.read(c)
+    out = pa.StructArray.from_arrays([pa.array(v, from_pandas=True) for v in found.bounds()], fields=list(_BOUNDS), mask=c.is_null())
+    if not len(found.odd):
+        return out
+    return _patched(out, found.odd, pa.array([one(v) for v in c.take(pa.array(found.odd)).to_pylist()], _BOUNDS))
+
+
+def wkb_bbox(c: Column) -> Column:
+    """Bounds of WKB of any type, collections included; what cannot be read has none."""
 
     def run(c: pa.Array) -> pa.Array:
-        found = wkb.read(c)
-        out = pa.StructArray.from_arrays([pa.array(v, from_pandas=True) for v in found.bounds()], fields=list(arrow), mask=c.is_null())
-        if not len(found.odd):
-            return out
-        return _patched(out, found.odd, pa.array([one(v) for v in c.take(pa.array(found.odd)).to_pylist()], arrow))
+        return wkb_bounds(c)
 
     run.__annotations__ = {"c": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, T.StructType([T.StructField(n, T.DoubleType()) for n in names]))(c)
+    return F.arrow_udf(run, T.StructType([T.StructField(n, T.DoubleType()) for n in _BOUNDS.names]))(c)
 
 
 CODECS = {

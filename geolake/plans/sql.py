@@ -1,221 +1,201 @@
 """SQL functions over spatial tables.
 
-Where the body is short it is a SQL temporary function, which the optimizer inlines, so that nested columns are pruned and filters pushed
-down as if it had been written out. The rest are Arrow UDFs over plain Python shapes; the Column API has native forms of most of them.
+Their bodies are the Column expressions of this package, written out as SQL: temporary SQL functions, which the optimizer inlines, so that
+nested columns are pruned and filters pushed down as if they had been written out, and which cannot drift from the Column API. Python
+functions over whole Arrow columns only parse and write WKB and WKT, compare geometries other than points, and look cells up in a grown tree.
 """
 
 from __future__ import annotations
 
-import math
+import re
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geolake import schemas as S
+from geolake.functions import geohash as H
 from geolake.functions import geometry as G
-from geolake.functions import shapes
-from geolake.operators.quadtree import Quadtree, cell_bounds
-
-_FLAT_TEXT, _CELL_TEXT = S.FSP.simpleString(), S.CELL.simpleString()
-_POINT = f"named_struct('type', 1, 'x', array({{x}}), 'y', array({{y}}), 'parts', CAST(array() AS ARRAY<INT>), 'bbox_partitioning', CAST(NULL AS {_CELL_TEXT}))"
-_G, _D = f"g {_FLAT_TEXT}", "DOUBLE"
-#: name: (arguments, result, body)
-INLINED = {
-    "ST_X": (_G, _D, "CASE WHEN g.type = 1 THEN get(g.x, 0) END"),
-    "ST_Y": (_G, _D, "CASE WHEN g.type = 1 THEN get(g.y, 0) END"),
-    "ST_XMin": (_G, _D, "array_min(filter(g.x, v -> NOT isnan(v)))"),
-    "ST_XMax": (_G, _D, "array_max(filter(g.x, v -> NOT isnan(v)))"),
-    "ST_YMin": (_G, _D, "array_min(filter(g.y, v -> NOT isnan(v)))"),
-    "ST_YMax": (_G, _D, "array_max(filter(g.y, v -> NOT isnan(v)))"),
-    "ST_NumPoints": (_G, "INT", "size(g.x)"),
-    "countCoordinates": (_G, "INT", "size(g.x)"),
-    "ST_Point": ("x DOUBLE, y DOUBLE", _FLAT_TEXT, "CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN " + _POINT.format(x="x", y="y") + " END"),
-    "ST_PointN": (f"{_G}, n INT", _FLAT_TEXT, "CASE WHEN g.type = 2 AND abs(n) BETWEEN 1 AND size(g.x) THEN " + _POINT.format(x="element_at(g.x, n)", y="element_at(g.y, n)") + " END"),
-    "ST_Distance": (f"a {_FLAT_TEXT}, b {_FLAT_TEXT}", _D, "CASE WHEN a.type = 1 AND b.type = 1 THEN hypot(get(a.x, 0) - get(b.x, 0), get(a.y, 0) - get(b.y, 0)) END"),
-    "ST_PolygonFromEnvelope": ("x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE", _FLAT_TEXT, f"named_struct('type', 3, 'x', array(x1, x2, x2, x1, x1), 'y', array(y1, y1, y2, y2, y1), 'parts', array(0), 'bbox_partitioning', CAST(NULL AS {_CELL_TEXT}))"),
-    "ST_InBox": (f"{_G}, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE", "BOOLEAN", "x1 <= array_min(g.x) AND x2 >= array_max(g.x) AND y1 <= array_min(g.y) AND y2 >= array_max(g.y)"),
-    "multiPointToLine": (_G, _FLAT_TEXT, f"CASE WHEN g.type = 4 AND size(g.x) >= 2 THEN named_struct('type', 2, 'x', g.x, 'y', g.y, 'parts', CAST(array() AS ARRAY<INT>), 'bbox_partitioning', CAST(NULL AS {_CELL_TEXT})) END"),
-}
-
-_CELL_ARROW = pa.struct([*[(n, pa.float64()) for n in ("min_x", "min_y", "max_x", "max_y")], ("region_code", pa.int64())])
-_NUMBERS, _INTS = pa.list_(pa.float64()), pa.list_(pa.int32())
-_ARROW = {
-    "wkb": pa.struct([("geom", pa.binary()), ("bbox_partitioning", _CELL_ARROW)]),
-    "sp": pa.struct([("type", pa.int32()), ("parts", pa.list_(pa.struct([("coordinates", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))]))), ("bbox_partitioning", _CELL_ARROW)]),
-    "fsp": pa.struct([("type", pa.int32()), ("x", _NUMBERS), ("y", _NUMBERS), ("parts", _INTS), ("bbox_partitioning", _CELL_ARROW)]),
-    "nfsp": pa.struct([("type", pa.int32()), ("x", _NUMBERS), ("y", _NUMBERS), ("parts", _INTS), ("geometries", _INTS), ("bbox_partitioning", _CELL_ARROW)]),
-}
-
-
-def _area(shape) -> float:
-    return float(sum(abs(shapes.ring_area(p[0])) - sum(abs(shapes.ring_area(h)) for h in p[1:]) for p in shapes.polygons_of(shape) if p))
-
-
-def _spheroid(shape) -> float:
-    def half(lat):
-        s = math.sin(math.radians(lat))
-        q = (1 - G._E2) * (s / (1 - G._E2 * s * s) - math.log((1 - G._E * s) / (1 + G._E * s)) / (2 * G._E)) / G._Q_POLE
-        return q / (1 + math.sqrt(max(0.0, 1 - q * q)))
-
-    def ring(r):
-        total = 0.0
-        for a, b in zip(r, r[1:]):
-            turn = math.remainder(math.radians(b[0] - a[0]), 2 * math.pi)
-            p, q = half(a[1]), half(b[1])
-            total += 2 * math.atan2(math.tan(turn / 2) * (p + q), 1 + p * q)
-        return abs(total) * G.AUTHALIC_RADIUS**2
-
-    return float(sum(ring(p[0]) - sum(map(ring, p[1:])) for p in shapes.polygons_of(shape) if p))
-
-
-def _length(shape) -> float:
-    lines = [shape[1]] if shape[0] == S.LINE else shape[1] if shape[0] == S.MULTILINE else []
-    return float(sum(math.hypot(a[0] - b[0], a[1] - b[1]) for r in lines for a, b in zip(r, r[1:])))
-
-
-def centroid(shape):
-    """Area-weighted, else length-weighted, else the mean of the points; None without points."""
-    if (total := _area(shape)) > 0:
-        mx = my = 0.0
-        for p in shapes.polygons_of(shape):
-            for i, r in enumerate(p):
-                sign = (-1 if i else 1) * (1 if shapes.ring_area(r) > 0 else -1)
-                for a, b in zip(r, r[1:]):
-                    cross = (a[0] - r[0][0]) * (b[1] - r[0][1]) - (b[0] - r[0][0]) * (a[1] - r[0][1])
-                    mx += sign * cross * ((a[0] + b[0] + r[0][0]) / 3) / 2
-                    my += sign * cross * ((a[1] + b[1] + r[0][1]) / 3) / 2
-        return mx / total, my / total
-    if (total := _length(shape)) > 0:
-        lines = [shape[1]] if shape[0] == S.LINE else shape[1]
-        steps = [(math.hypot(a[0] - b[0], a[1] - b[1]), a, b) for r in lines for a, b in zip(r, r[1:])]
-        return sum(d * (a[0] + b[0]) / 2 for d, a, b in steps) / total, sum(d * (a[1] + b[1]) / 2 for d, a, b in steps) / total
-    _, x, y, _ = shapes.flat(shape)
-    return (sum(x) / len(x), sum(y) / len(y)) if x else None
-
-
-def _hash8(p) -> str | None:
-    if p is None or not (-180 <= p[0] <= 180 and -90 <= p[1] <= 90):
-        return None
-    i, j = (min(int((v - low) / span * (1 << 20)), (1 << 20) - 1) for v, low, span in ((p[0], -180, 360), (p[1], -90, 180)))
-    bits = "".join(a + b for a, b in zip(f"{i:020b}", f"{j:020b}"))
-    return "".join("0123456789bcdefghjkmnpqrstuvwxyz"[int(bits[k : k + 5], 2)] for k in range(0, 40, 5))
-
-
-def _geojson(shape) -> str:
-    import json
-
-    name = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon"}[shape[0]]
-    return json.dumps({"type": name, "coordinates": shape[1][0] if shape[0] == S.POINT and shape[1] else shape[1]}, separators=(",", ":"))
-
-
-def box_fit(x1: float, y1: float, x2: float, y2: float) -> tuple[int, int]:
-    """Path and level of a box, as :func:`geolake.operators.quadtree.fit` computes them in a plan."""
-    if x1 < -180 or y1 < -90 or x2 > 180 or y2 > 90:
-        return 0, 0
-    n = 1 << 22
-    i, i_low = max(math.ceil((x2 + 180) * (n / 360.0)) - 1, 0), min(math.floor((x1 + 180) * (n / 360.0)), n - 1)
-    j, j_high = min(math.floor((y1 + 90) * (n / 180.0)), n - 1), max(math.ceil((y2 + 90) * (n / 180.0)) - 1, 0)
-    differ = lambda low, high: 0 if low >= high else (low ^ high).bit_length()
-    path = sum(((~i >> k) & 1) << (2 * k) | ((~j >> k) & 1) << (2 * k + 1) for k in range(22))
-    return path, 22 - max(differ(i_low, i), differ(j, j_high))
-
-
-def register_functions(spark: SparkSession, layout: str = "fsp", tree: Quadtree | None = None) -> list[str]:
+from geolake.functions import shapes, wkb
+from geolake.operators import quadtree as Q
+from geolake.operators.codecs import CODECS, _arrow, to_layout_column, wkb_bounds
+
+_QUOTED = re.compile(r"('(?:[^'\\]|\\.)*')")
+_FRACTION = re.compile(r"(?<![\w.`])(\d+\.\d+(?:E-?\d+)?|\d+E-?\d+)(?![\w.])")
+_OPERATOR = re.compile(r"(?<![\w`])(<=>|<=|>=|<|>|=|\+|-|\*|/|%|\||&|\^|!|and|or|in|not)\(")
+_ALIAS = re.compile(r" AS ([a-z_]\w*)(?=[,)])")
+
+
+def sql_text(c: Column) -> str:
+    """A Column as SQL. Operators become calls by their quoted names, fractions doubles, aliases quoted."""
+    parts = _QUOTED.split(c._jc.node().sql())
+    for i in range(0, len(parts), 2):
+        parts[i] = _ALIAS.sub(r" AS `\1`", _OPERATOR.sub(r"`\1`(", _FRACTION.sub(r"\1D", parts[i])))
+    return "".join(parts)
+
+
+_FLAT, _CELL, _D = S.FSP.simpleString(), S.CELL.simpleString(), "DOUBLE"
+_BOX = T.StructType(S.CELL.fields[:4])
+_G, _TWO = f"g {_FLAT}", f"a {_FLAT}, b {_FLAT}"
+
+
+def _point_n() -> Column:
+    n = F.col("n")
+    size = F.size("g.x")
+    return F.when((F.col("g.type") == S.LINE) & F.abs(n).between(1, size), G.st_point(F.get("g.x", F.when(n > 0, n - 1).otherwise(size + n)), F.get("g.y", F.when(n > 0, n - 1).otherwise(size + n))))
+
+
+def _inlined() -> dict[str, tuple[str, str, Column]]:
+    """name: (arguments, result, body), for flat structs."""
+    return {
+        "ST_X": (_G, _D, G.st_x("g")),
+        "ST_Y": (_G, _D, G.st_y("g")),
+        "ST_XMin": (_G, _D, G.st_x_min("g")),
+        "ST_XMax": (_G, _D, G.st_x_max("g")),
+        "ST_YMin": (_G, _D, G.st_y_min("g")),
+        "ST_YMax": (_G, _D, G.st_y_max("g")),
+        "ST_NumPoints": (_G, "INT", G.num_points("g")),
+        "countCoordinates": (_G, "INT", G.num_points("g")),
+        "ST_NumGeometries": (_G, "INT", G.st_num_geometries("g")),
+        "ST_Point": ("x DOUBLE, y DOUBLE", _FLAT, G.st_point("x", "y")),
+        "ST_PointN": (f"{_G}, n INT", _FLAT, _point_n()),
+        "ST_StartPoint": (_G, _FLAT, G.start_point("g")),
+        "ST_EndPoint": (_G, _FLAT, G.end_point("g")),
+        "ST_Distance": (_TWO, _D, G.st_distance("a", "b")),
+        "ST_Area": (_G, _D, G.st_area("g")),
+        "ST_AreaSpheroid": (_G, _D, G.st_area_spheroid("g")),
+        "ST_Length": (_G, _D, G.st_length("g")),
+        "ST_Centroid": (_G, _FLAT, G.st_centroid("g")),
+        "ST_AsText": (_G, "STRING", G.st_as_text("g")),
+        "ST_AsGeoJSON": (_G, "STRING", G.st_as_geojson("g")),
+        "ST_PolygonFromEnvelope": ("x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE", _FLAT, G.st_polygon_from_envelope("x1", "y1", "x2", "y2")),
+        "ST_InBox": (f"{_G}, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE", "BOOLEAN", (F.col("x1") <= G.st_x_min("g")) & (F.col("x2") >= G.st_x_max("g")) & (F.col("y1") <= G.st_y_min("g")) & (F.col("y2") >= G.st_y_max("g"))),
+        "multiPointToLine": (_G, _FLAT, G.line_from_multipoint("g")),
+        "geoNum": ("x DOUBLE, y DOUBLE", "INT", H.geohash_numeric("x", "y")),
+        "ST_GeoHash": ("x DOUBLE, y DOUBLE", "STRING", H.geohash("x", "y")),
+    }
+
+
+#: By session: the layout its functions are registered for (None: with a tree of their own), all names, and those of any layout.
+_done: dict[str, tuple[str | None, list[str], list[str]]] = {}
+
+
+def register_functions(spark: SparkSession, layout: str = "fsp", tree: Q.Quadtree | None = None) -> list[str]:
     """Register the functions for tables of a layout in this session; returns their names.
 
     ST_ functions and multiPointToLine take flat structs, as ``decodeGeometry`` and ``ST_GeomFromWKB`` return them (the flat layout is one
     itself). encodeGeometry takes WKB, or WKT through encodeGeometryText; calculateBbox, findBucket and addgeohash take the
-    stored struct. findBucket uses ``tree``, by default the initial one of four levels. What cannot be read gives null.
+    stored struct. findBucket uses ``tree``, by default the initial one of four levels; its result has nulls where there are no bounds. What
+    cannot be read gives null. Spark plans no Python function over nested lambda functions: store a computed geometry before ST_AsWKB.
     """
-    for name, (args, result, body) in INLINED.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {result} RETURN {body}")
-    spark.sql("DROP TEMPORARY FUNCTION IF EXISTS decodeGeometry")
-    names = [*INLINED]
-    flat = lambda s: shapes.to_layout(s, "fsp")
-    shape = lambda v: shapes.from_layout(v, "fsp")
-    stored = lambda v: shapes.from_layout(v, layout)
-    grown = tree or Quadtree.initial()
-
-    def points(s):
-        return [p for m in s[1] for p in points(m)] if s[0] == S.COLLECTION else list(zip(*shapes.flat(s)[1:3]))
-
-    def bounds(s):
-        p = points(s)
-        x, y = [a for a, _ in p if a == a], [b for _, b in p if b == b]
-        return (min(x), min(y), max(x), max(y)) if x and y else None
-
-    def bucket(v):
-        box = bounds(stored(v))
-        keys = ("min_x", "min_y", "max_x", "max_y", "region_code")
-        if box is None:
-            return dict.fromkeys(keys)
-        code = grown.locate(*box_fit(*box))
-        return dict(zip(keys, (*cell_bounds(code), code)))
-
-    def at(v):
-        s = stored(v)
-        p = points(s)
-        return _hash8((centroid(s) if layout == "wkb" else p[0]) if p else None)
-
-    def members(s):
-        return 0 if not points(s) else len(s[1]) if s[0] in (4, 5, 6) else 1
-
-    text, number, binary = (T.StringType(), pa.string()), (T.DoubleType(), pa.float64()), (T.BinaryType(), pa.binary())
-    fsp, own = (S.FSP, _ARROW["fsp"]), (S.LAYOUTS[layout], _ARROW[layout])
-    box = (T.StructType(S.CELL.fields[:4]), pa.struct([_CELL_ARROW.field(i) for i in range(4)]))
-    cell, flag = (S.CELL, _CELL_ARROW), (T.BooleanType(), pa.bool_())
-    python = {
-        "ST_Area": (lambda v: _area(shape(v)), number),
-        "ST_AreaSpheroid": (lambda v: _spheroid(shape(v)), number),
-        "ST_Length": (lambda v: _length(shape(v)), number),
-        "ST_Centroid": (lambda v: (lambda p: flat((1, [p])) if p else None)(centroid(shape(v))), fsp),
-        "ST_NumGeometries": (lambda v: members(shape(v)), (T.IntegerType(), pa.int32())),
-        "ST_Contains": (lambda a, b: shapes.contains(shape(a), shape(b)), flag),
-        "ST_Within": (lambda a, b: shapes.contains(shape(b), shape(a)), flag),
-        "ST_AsText": (lambda v: shapes.to_wkt(shape(v)), text),
-        "ST_AsGeoJSON": (lambda v: _geojson(shape(v)), text),
-        "ST_AsWKB": (lambda v: shapes.to_wkb(shape(v)), binary),
-        "ST_GeomFromWKB": (lambda v: flat(shapes.from_wkb(bytes(v))), fsp),
-        "ST_GeomFromWKT": (lambda v: flat(shapes.from_wkt(v)), fsp),
-        "encodeGeometry": (lambda v: {"geom": bytes(v)} if layout == "wkb" else shapes.to_layout(shapes.from_wkb(bytes(v)), layout), own),
-        "encodeGeometryText": (lambda v: shapes.to_layout(shapes.from_wkt(v), layout), own),
-        "createPointGeometry": (lambda x, y: shapes.to_layout((1, [(x, y)]), layout), own),
-        "calculateBbox": (lambda v: dict(zip(("min_x", "min_y", "max_x", "max_y"), bounds(stored(v)) or (None,) * 4)), box),
-        "findBucket": (bucket, cell),
-        "addgeohash": (at, text),
-        "geoNum": (lambda x, y: (lambda h: None if h is None else (lambda n: n - (1 << 32) if n >> 31 else n)(sum(32**k * "0123456789bcdefghjkmnpqrstuvwxyz".index(c) for k, c in enumerate(reversed(h))) & 0xFFFFFFFF))(_hash8((x, y))), (T.IntegerType(), pa.int32())),
-    }
-    if layout != "fsp":
-        python["decodeGeometry"] = (lambda v: flat(stored(v)), fsp)
+    session, codec, own = spark._jsparkSession.sessionUUID(), CODECS[layout], S.LAYOUTS[layout].simpleString()
+    done = _done.get(session)
+    if done and tree is None and done[0] == layout:
+        return list(done[1])
+    names: list[str] = []
+
+    def define(name: str, args: str, result: str, body: Column) -> None:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {result} RETURN {sql_text(body)}")
+        names.append(name)
+
+    def python(name: str, f, result) -> None:
+        spark.udf.register(name, F.arrow_udf(f, result))
+        names.append(name)
+
+    if done:
+        names += done[2]
+    else:
+        for name, (args, result, body) in _inlined().items():
+            define(name, args, result, body)
+    shared = list(names)
+    _python_functions(python, layout)
+    _tree_function(python, tree)
+
+    point = F.col("b.type") == S.POINT
+    define("ST_Contains", _TWO, "BOOLEAN", F.when(point, G.st_contains("a", "b", points=True)).otherwise(F.call_function("geolake_contains", F.when(~point, F.col("a")), F.when(~point, F.col("b")))))
+    define("ST_Within", _TWO, "BOOLEAN", F.call_function("ST_Contains", F.col("b"), F.col("a")))
+    stored = f"g {own}"
+    if layout == "wkb":
+        flat, bounds = F.call_function("ST_GeomFromWKB", F.col("g.geom")), F.call_function("geolake_wkb_bounds", F.col("g.geom"))
+        encoded = F.when(F.col("g").isNotNull(), F.struct(F.col("g").alias("geom"), G.no_cell().alias("bbox_partitioning")))
+        made = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.struct(F.call_function("ST_AsWKB", G.st_point("x", "y")).alias("geom"), G.no_cell().alias("bbox_partitioning")))
+        at = G.st_centroid("g")
+    else:
+        flat, bounds, made = codec.decode("g"), codec.bbox("g"), codec.from_xy("x", "y")
+        encoded = F.call_function("geolake_encode", F.col("g"))
+        at = F.get("g.parts", F.lit(0))["coordinates"] if layout == "sp" else F.col("g")
+    define("decodeGeometry", stored, _FLAT, flat)
+    define("encodeGeometry", "g BINARY", own, encoded)
+    define("createPointGeometry", "x DOUBLE, y DOUBLE", own, made)
+    define("calculateBbox", stored, _BOX.simpleString(), bounds)
+    first = lambda c: F.get(at, F.lit(0))[c] if layout == "sp" else F.get(at[c], F.lit(0))
+    if layout == "wkb":
+        define("geolake_first", _G, "STRING", H.geohash(first("x"), first("y")))
+        define("addgeohash", stored, "STRING", F.call_function("geolake_first", flat))
     else:
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION decodeGeometry({_G}) RETURNS {_FLAT_TEXT} RETURN g")
-    for name, (f, (result, kind)) in python.items():
-        spark.udf.register(name, F.arrow_udf(_lifted(f, kind), result))
-    return [*names, *python, *(["decodeGeometry"] if layout == "fsp" else [])]
+        define("addgeohash", stored, "STRING", H.geohash(first("x"), first("y")))
+    define("geolake_code", ", ".join(f"{c} DOUBLE" for c in ("min_x", "min_y", "max_x", "max_y")), "BIGINT", _code(tree))
+    none = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in S.CELL])
+    define("geolake_cell", "code BIGINT", _CELL, F.coalesce(Q.cell_struct("code"), none))
+    box = F.col("b")
+    define("geolake_bucket", f"b {_BOX.simpleString()}", _CELL, F.call_function("geolake_cell", F.call_function("geolake_code", box["min_x"], box["min_y"], box["max_x"], box["max_y"])))
+    define("findBucket", stored, _CELL, F.when(F.col("g").isNotNull(), F.call_function("geolake_bucket", F.call_function("calculateBbox", F.col("g")))))
+    _done[session] = (layout if tree is None else None, names, shared)
+    return names
 
 
-def _lifted(f, kind):
-    def each(*columns):
-        out = []
-        for values in zip(*(c.to_pylist() for c in columns)):
-            try:
-                out.append(None if any(v is None for v in values) else f(*values))
-            except (ValueError, KeyError, TypeError, IndexError, ArithmeticError):
-                out.append(None)
-        return pa.array(out, kind)
+def _code(tree: Q.Quadtree | None) -> Column:
+    path, level = Q.fit("min_x", "min_y", "max_x", "max_y")
+    if tree is None:
+        return F.when(level.isNotNull(), Q.code_at(path, F.least(level, F.lit(Q.BASE_LEVEL))))
+    return F.call_function("geolake_locate", path, level)
 
-    if f.__code__.co_argcount == 2:
 
-        def run(a: pa.Array, b: pa.Array) -> pa.Array:
-            return each(a, b)
+def _tree_function(python, tree: Q.Quadtree | None) -> None:
+    if tree is None:
+        return
 
-        run.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
-    else:
+    def locate(paths: pa.Array, levels: pa.Array) -> pa.Array:
+        known = np.asarray(levels.is_valid())
+        some = lambda c: c.fill_null(0).to_numpy()
+        return pa.array(tree.locate_all(some(paths), some(levels)), pa.int64(), mask=~known)
+
+    python("geolake_locate", locate, T.LongType())
 
-        def run(a: pa.Array) -> pa.Array:
-            return each(a)
 
-        run.__annotations__ = {"a": pa.Array, "return": pa.Array}
-    return run
+def _python_functions(python, layout: str) -> None:
+    flat_kind = _arrow(S.FSP)
+
+    def from_wkb(c: pa.Array) -> pa.Array:
+        return wkb.read(c).to_arrow(flat_kind)
+
+    def from_wkt(c: pa.Array) -> pa.Array:
+        return to_layout_column(c, shapes.from_wkt, "fsp")
+
+    def as_wkb(c: pa.Array) -> pa.Array:
+        return wkb.write(c)
+
+    def bounds(c: pa.Array) -> pa.Array:
+        return wkb_bounds(c)
+
+    def encode(c: pa.Array) -> pa.Array:
+        return to_layout_column(c, "wkb", layout)
+
+    def encode_text(c: pa.Array) -> pa.Array:
+        return to_layout_column(c, shapes.from_wkt, layout)
+
+    def contains(a: pa.Array, b: pa.Array) -> pa.Array:
+        whole = lambda v: shapes.unflat(v["type"], v["x"], v["y"], v["parts"])
+        return pa.array([None if o is None or i is None else shapes.contains(whole(o), whole(i)) for o, i in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+
+    python("ST_GeomFromWKB", from_wkb, S.FSP)
+    python("ST_GeomFromWKT", from_wkt, S.FSP)
+    python("ST_AsWKB", as_wkb, T.BinaryType())
+    python("encodeGeometryText", encode_text, S.LAYOUTS[layout])
+    python("geolake_contains", contains, T.BooleanType())
+    if layout == "wkb":
+        python("geolake_wkb_bounds", bounds, _BOX)
+    else:
+        python("geolake_encode", encode, S.LAYOUTS[layout])

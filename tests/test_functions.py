@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from geolake.functions import geohash as H
 from geolake.functions import geometry as G
+from geolake.functions import shapes
 from geolake.functions.bits import gather_bits, spread_bits
 from geolake.operators.codecs import CODECS, collection_members, nested_text, nested_valid, parse
+from geolake.operators.quadtree import Quadtree
 from geolake.plans.sql import register_functions
+from tests.helpers import box_fit
 from tests.test_shapes import HOLED
 
 WKTS = ["POINT(1 2)", "MULTIPOINT((0 0),(1 1),(2 0))", "LINESTRING(0 0,1 1,2 0)", "MULTILINESTRING((0 0,1 1),(2 2,3 3,4 4))", HOLED, f"MULTIPOLYGON({HOLED[7:]},((10 10,12 10,12 12,10 10)))", "LINESTRING EMPTY", None, "no geometry", "GEOMETRYCOLLECTION(POINT(1 2))"]
@@ -120,10 +123,43 @@ def test_contains_paths(spark):
 def test_sql_functions(spark, layout):
     names = register_functions(spark, layout)
     assert {"encodeGeometry", "decodeGeometry", "calculateBbox", "findBucket", "addgeohash", "multiPointToLine", "createPointGeometry", "geoNum", "ST_Contains"} <= set(names)
-    text = "SELECT ST_AsText(decodeGeometry(e)) AS t, calculateBbox(e) AS b, findBucket(e).region_code AS c, addgeohash(e) AS h FROM (SELECT encodeGeometryText('LINESTRING(0 0,1 1,2 0)') AS e)"
-    r = spark.sql(text).first()
-    assert r.t == "LINESTRING (0 0, 1 1, 2 0)" and tuple(r.b) == (0, 0, 2, 1) and r.c == 319 and len(r.h) == 8
-    r = spark.sql("SELECT ST_X(decodeGeometry(createPointGeometry(3D, 4D))) AS x, createPointGeometry(NULL, 1D) AS n, ST_Area(ST_PolygonFromEnvelope(0D, 0D, 2D, 3D)) AS a, geoNum(10.40744D, 57.64911D) AS g, ST_Distance(ST_Point(0D, 0D), ST_Point(3D, 4D)) AS d, ST_XMax(ST_GeomFromWKT('MULTIPOINT((1 1),(5 2))')) AS m, ST_Length(multiPointToLine(ST_GeomFromWKT('MULTIPOINT((0 0),(3 4))'))) AS l, ST_Contains(ST_PolygonFromEnvelope(0D, 0D, 2D, 3D), ST_Point(1D, 1D)) AS c, ST_AreaSpheroid(ST_PolygonFromEnvelope(13D, 52D, 13.001D, 52.001D)) AS s, ST_InBox(ST_Point(1D, 1D), 0D, 0D, 2D, 2D) AS i, ST_AsText(ST_Centroid(ST_PolygonFromEnvelope(0D, 0D, 2D, 3D))) AS z").first()
-    assert r.x == 3 and r.n is None and (r.a, r.d, r.m, r.l, r.c, r.i, r.z) == (6, 5, 5, 5, True, True, "POINT (1 1.5)")
+    text = "SELECT ST_AsText(decodeGeometry(e)) AS t, calculateBbox(e) AS b, findBucket(e).region_code AS c, addgeohash(e) AS h, w FROM (SELECT e, hex(ST_AsWKB(ST_GeomFromWKT(w))) AS w FROM (SELECT encodeGeometryText(w) AS e, w FROM VALUES ('LINESTRING(0 0,1 1,2 0)'), (NULL), ('LINESTRING EMPTY') t(w)))"
+    r, none, empty = spark.sql(text).collect()
+    assert r.t == "LINESTRING (0 0, 1 1, 2 0)" and tuple(r.b) == (0, 0, 2, 1) and r.c == 319 and len(r.h) == 8 and r.w == shapes.to_wkb((2, [(0.0, 0.0), (1.0, 1.0), (2.0, 0.0)])).hex().upper()
+    assert (none.t, none.c, none.h, none.w) == (None,) * 4 and empty.t == "LINESTRING EMPTY" and empty.c is None and empty.h is None
+    r = spark.sql("SELECT ST_X(decodeGeometry(createPointGeometry(3D, 4D))) AS x, createPointGeometry(NULL, 1D) AS n, ST_Area(ST_PolygonFromEnvelope(0D, 0D, 2D, 3D)) AS a, geoNum(10.40744D, 57.64911D) AS g, ST_Distance(ST_Point(0D, 0D), ST_Point(3D, 4D)) AS d, ST_XMax(ST_GeomFromWKT('MULTIPOINT((1 1),(5 2))')) AS m, ST_Length(multiPointToLine(ST_GeomFromWKT('MULTIPOINT((0 0),(3 4))'))) AS l, ST_Contains(ST_PolygonFromEnvelope(0D, 0D, 2D, 3D), ST_Point(1D, 1D)) AS c, ST_Within(ST_GeomFromWKT('LINESTRING(0 0,1 1)'), ST_PolygonFromEnvelope(0D, 0D, 2D, 3D)) AS w, ST_AreaSpheroid(ST_PolygonFromEnvelope(13D, 52D, 13.001D, 52.001D)) AS s, ST_InBox(ST_Point(1D, 1D), 0D, 0D, 2D, 2D) AS i, ST_AsText(ST_Centroid(ST_PolygonFromEnvelope(0D, 0D, 2D, 3D))) AS z, ST_AsText(ST_Centroid(ST_GeomFromWKT('LINESTRING(0 0,2 4)'))) AS y, ST_X(ST_PointN(ST_GeomFromWKT('LINESTRING(7 0,2 4)'), -2)) AS q").first()
+    assert r.x == 3 and r.n is None and (r.a, r.d, r.m, r.l, r.c, r.w, r.i, r.z, r.y, r.q) == (6, 5, 5, 5, True, True, True, "POINT (1 1.5)", "POINT (1 2)", 7)
     native = spark.range(1).select(H.geohash_numeric(F.lit(10.40744), F.lit(57.64911)).alias("g"), G.st_area_spheroid(G.st_polygon_from_envelope(13.0, 52.0, 13.001, 52.001)).alias("s")).first()
-    assert r.g == native.g and r.s == pytest.approx(native.s, rel=1e-12)
+    assert r.g == native.g and r.s == native.s
+    spark.sql("SELECT encodeGeometry(unhex(w)) AS e FROM VALUES ('{}'), ('00') t(w)".format(shapes.to_wkb((3, [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 0.0)]])).hex())).createOrReplaceTempView("stored")
+    got = spark.sql("SELECT ST_Area(decodeGeometry(e)) AS a FROM stored").collect()
+    assert [x.a for x in got] == [8.0, None]
+    tree = Quadtree.initial()
+    tree.split |= {319, 1279}
+    register_functions(spark, layout, tree)
+    assert [x.c for x in spark.sql("SELECT findBucket(createPointGeometry(x, 1D)).region_code AS c FROM VALUES (1D), (20D), (200D) t(x)").collect()] == [tree.locate(*box_fit(x, 1, x, 1)) for x in (1, 20, 200)]
+    register_functions(spark, "fsp")
+
+
+def test_sql_bodies_stay_in_the_plan(spark):
+    """No Python step, and only the nested columns in use are read."""
+    register_functions(spark, "fsp")
+    spark.range(10).select(G.st_point(F.col("id") * 1.5, F.lit(2.0)).alias("geometry")).write.mode("overwrite").parquet(str(spark.conf.get("spark.sql.warehouse.dir")) + "/sql_points")
+    spark.read.parquet(str(spark.conf.get("spark.sql.warehouse.dir")) + "/sql_points").createOrReplaceTempView("sql_points")
+    plan = spark.sql("SELECT findBucket(geometry).region_code AS c, count(*) FROM sql_points WHERE ST_X(geometry) > 3 AND ST_Contains(ST_PolygonFromEnvelope(0D, 0D, 9D, 9D), geometry) IS NOT NULL GROUP BY 1")
+    assert plan.count() > 0
+    text = spark.sql("SELECT sum(ST_X(geometry)), max(ST_XMax(geometry)) FROM sql_points")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in text and "struct<type:int,x:array<double>>" in text
+
+
+def test_point_in_polygon_equals_the_plain_predicate(spark):
+    import random
+
+    r = random.Random(5)
+    outer = ["POLYGON((0 0,4 0,4 4,0 4,0 0),(1 1,1 3,3 3,3 1,1 1))", "MULTIPOLYGON(((0 0,2 0,1 2,0 0)),((2 2,4 2,4 4,2 4,2 2),(2.5 2.5,2.5 3.5,3.5 3.5,3.5 2.5,2.5 2.5)))", "POLYGON((0 0,4 4,4 0,0 4,0 0))", "POLYGON EMPTY", "LINESTRING(0 0,4 4)", None]
+    dots = [f"POINT({x} {y})" for x in range(-1, 6) for y in range(-1, 6)] + [f"POINT({r.uniform(0, 4)} {r.uniform(0, 4)})" for _ in range(60)] + ["POINT EMPTY", None]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate((a, b) for a in outer for b in dots)], "id int, a string, b string")
+    df = df.withColumn("g", parse("a", "wkt")).withColumn("p", parse("b", "wkt"))
+    for row in df.select("a", "b", G.st_contains("g", "p").alias("c"), G.st_contains("g", "p", points=True).alias("d")).collect():
+        want = shapes.contains(shapes.from_wkt(row.a), shapes.from_wkt(row.b)) if row.a and row.b else None
+        assert row.c == row.d == want, row

@@ -8,6 +8,7 @@ from geolake.functions import geometry as G
 from geolake.operators import quadtree as Q
 from geolake.operators.codecs import CODECS
 from geolake.plans.table import ConcurrentWrite, GeoTable, SchemaMismatch, TableSpec
+from tests.helpers import box_fit
 
 
 def rows(spark, start=0, n=1000, layout="fsp"):
@@ -113,7 +114,7 @@ def test_overwrite_cells(spark, tmp_path):
     t = table(spark, tmp_path)
     t.append_indexed(rows(spark, 0, 500), 10_000, 60)
     new = spark.range(9000, 9005).select(F.col("id").alias("k"), G.st_point(F.lit(1.5), F.lit(1.5)).alias("geometry"))
-    code = t.tree().locate(*__import__("geolake.plans.sql", fromlist=["box_fit"]).box_fit(1.5, 1.5, 1.5, 1.5))
+    code = t.tree().locate(*box_fit(1.5, 1.5, 1.5, 1.5))
     stay = {r.k for r in t.df().where(f"region_code is null or region_code <> {code}").collect()}
     t.overwrite_cells(new)
     assert set(keys(t)) == stay | set(range(9000, 9005)) and len(stay) < 500

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geolake.operators import quadtree as Q
-from geolake.plans.sql import box_fit
+from tests.helpers import box_fit
 
 
 def walk(x1, y1, x2, y2, depth):
