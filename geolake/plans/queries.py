@@ -212,48 +212,21 @@ def spatial_join_points_cells(spark, sf_dir):
 
 
 def spatial_join_within(spark, sf_dir):
-    """Rectangles within the buildings of a coarser grid: both sides dealt by grid cell."""
-    p = _points(spark, sf_dir, CITY).where(F.col("n") == 1)
-    r = _rects(spark, sf_dir)
-    return joins.spatial_join(p, r, "geometry", "geometry", "within", step=0.05).groupBy("id").agg(F.count("*").alias("cnt"))
+    """All points within all rectangles, dealt by grid cell."""
+    return joins.spatial_join(_points(spark, sf_dir, CITY), _rects(spark, sf_dir), "geometry", "geometry", "within").groupBy("id").agg(F.count("*").alias("cnt"))
 
 
-def _boxes(spark, sf_dir):
-    return view(spark, sf_dir, CELLS).where("cid % 3 = 0")
-
-
-def _in_boxes(spark, sf_dir, how):
-    p, c = view(spark, sf_dir, WORLD), _boxes(spark, sf_dir)
-    inside = (F.col("lon") > F.col("xmin")) & (F.col("lon") < F.col("xmax")) & (F.col("lat") > F.col("ymin")) & (F.col("lat") < F.col("ymax"))
-    return p.join(F.broadcast(c), inside, how).agg(F.count("*").alias("cnt"), F.sum("k").alias("keys"))
+def _in_rects(spark, sf_dir, how):
+    p = joins.spatial_join(_points(spark, sf_dir, CITY), _rects(spark, sf_dir), "geometry", "geometry", "within", how)
+    return p.agg(F.count("*").alias("cnt"), F.sum("k").alias("keys"))
 
 
 def spatial_semi_join(spark, sf_dir):
-    return _in_boxes(spark, sf_dir, "left_semi")
+    return _in_rects(spark, sf_dir, "left_semi")
 
 
 def spatial_anti_join(spark, sf_dir):
-    return _in_boxes(spark, sf_dir, "left_anti")
-
-
-def spatial_join_within_all(spark, sf_dir):
-    """All points within all rectangles."""
-    return joins.spatial_join(_points(spark, sf_dir, CITY), _rects(spark, sf_dir), "geometry", "geometry", "within", step=0.05).groupBy("id").agg(F.count("*").alias("cnt"))
-
-
-def _in_all_boxes(spark, sf_dir, how):
-    p, c = view(spark, sf_dir, WORLD), view(spark, sf_dir, CELLS)
-    inside = (F.col("lon") > F.col("xmin")) & (F.col("lon") < F.col("xmax")) & (F.col("lat") > F.col("ymin")) & (F.col("lat") < F.col("ymax"))
-    return p.join(F.broadcast(c), inside, how).agg(F.count("*").alias("cnt"), F.sum("k").alias("keys"))
-
-
-def spatial_semi_join_all(spark, sf_dir):
-    return _in_all_boxes(spark, sf_dir, "left_semi")
-
-
-def spatial_anti_join_all(spark, sf_dir):
-    """Points on no inside of the 25 boxes: those on their edges."""
-    return _in_all_boxes(spark, sf_dir, "left_anti")
+    return _in_rects(spark, sf_dir, "left_anti")
 
 
 def union_start_end(spark, sf_dir):
@@ -300,11 +273,37 @@ def _index_table(spark, sf_dir, name):
     return t
 
 
+def _odd_rows(spark, sf_dir):
+    """Empty lines, null geometries and points beyond the world, one of each for each supplier."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("k"))
+    none = F.array().cast("array<double>")
+    empty = G.flat_struct(F.lit(2), none, none, F.array().cast("array<int>"))
+    kinds = [empty, F.lit(None).cast(empty_type()), G.st_point(F.lit(300.0), F.lit(1.0))]
+    out = None
+    for i, g in enumerate(kinds):
+        rows = s.select("k", F.lit(-i).alias("n"), g.alias("geometry"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def empty_type():
+    from geolake import schemas
+
+    return schemas.FSP
+
+
 def reindex_new_rows(spark, sf_dir):
+    """Half of the points are indexed at once, half later, with empty, null and far geometries among both."""
     t = _index_table(spark, sf_dir, "reindex")
+    odd = _odd_rows(spark, sf_dir).select(*[F.col(f.name).cast(f.dataType) for f in t.df().drop("region_code").schema])
+    t.append(odd)
     t.add_index_to_new_rows(driver_rows=10_000_000, max_rows=TREE_ROWS)
-    inside = t.window(*BOX).where(~_outside(*_first()))
-    return inside.agg(F.count("*").alias("cnt"), F.count_if(F.col("region_code").isNull()).alias("unindexed"))
+    t.append_indexed(odd, driver_rows=10_000_000, max_rows=TREE_ROWS)
+    t.compact()
+    inside = t.df().where(~_outside(F.get("geometry.x", F.lit(0)), F.get("geometry.y", F.lit(0))))
+    near = t.window(*BOX).where(~_outside(F.get("geometry.x", F.lit(0)), F.get("geometry.y", F.lit(0))))
+    rows = t.df().agg(F.count("*").alias("all_rows"), F.count_if(F.col("region_code").isNull()).alias("no_cell"), F.count_if(F.col("region_code") == 1).alias("beyond"))
+    return rows.crossJoin(inside.agg(F.count("*").alias("cnt"))).crossJoin(near.agg(F.count("*").alias("found")))
 
 
 def rebuild_index(spark, sf_dir):
@@ -348,17 +347,22 @@ def wkt_roundtrip(spark, sf_dir):
 
 
 def cells_geojson_export(spark, sf_dir):
-    p = cells_geojson(view(spark, sf_dir, CELLS))
-    return p.select(F.size(F.from_json("value", "type string, coordinates array<array<array<array<double>>>>")["coordinates"]).cast("long").alias("polygons"))
+    """The corners of all exported cells, in order."""
+    p = cells_geojson(view(spark, sf_dir, CELLS).orderBy("cid"))
+    shape = F.from_json("value", "type string, coordinates array<array<array<array<double>>>>")["coordinates"]
+    rows = p.select(F.posexplode(shape).alias("polygon", "rings")).select(F.col("polygon").cast("long"), F.posexplode(F.get("rings", F.lit(0))).alias("corner", "at"))
+    return rows.select("polygon", (F.col("corner") + 1).cast("long").alias("corner"), F.get("at", F.lit(0)).alias("x"), F.get("at", F.lit(1)).alias("y"))
 
 
 def contains_general(spark, sf_dir):
-    """Points in triangles under the diagonal of each rectangle, by the general predicate."""
+    """A point and a line in the triangle below each rectangle's diagonal; where they are differs by rectangle."""
     r = view(spark, sf_dir, RECTS)
-    x0, y0, w, h = (F.col(c) for c in ("x0", "y0", "w", "h"))
+    x0, y0, w, h, i = (F.col(c) for c in ("x0", "y0", "w", "h", "id"))
+    u, v = (i % 10 + 1) / F.lit(15.5), (i % 7 + 1) / F.lit(15.5)
+    none = F.array().cast("array<int>")
     tri = G.flat_struct(F.lit(3), F.array(x0, x0 + w, x0, x0), F.array(y0, y0, y0 + h, y0), F.array(F.lit(0)))
-    inner, outer = G.st_point(x0 + w / 4, y0 + h / 4), G.st_point(x0 + w * 3 / 4, y0 + h * 3 / 4)
-    return r.select(G.st_contains(tri, inner).alias("a"), G.st_contains(tri, outer).alias("b")).agg(F.count_if("a").alias("inside"), F.count_if("b").alias("beyond"))
+    line = G.flat_struct(F.lit(2), F.array(x0 + w * u, x0 + w * u / 2), F.array(y0 + h * v, y0 + h * v / 2), none)
+    return r.select("id", G.st_contains(tri, G.st_point(x0 + w * u, y0 + h * v)).alias("inside"), G.st_contains(tri, line).alias("line_inside"))
 
 
 def cell_rollup(spark, sf_dir):
@@ -372,35 +376,73 @@ def rank_points_in_cell(spark, sf_dir):
     return p.withColumn("r", F.row_number().over(w)).where("r <= 3").select("code", "r", "lon", "lat")
 
 
-def _two_sets(spark, sf_dir):
-    p = view(spark, sf_dir, WORLD).withColumn("code", Q.point_code("lon", "lat", 6))
-    return p.where("n = 1").select("code"), p.where("n = 5").select("code")
+def _two_tables(spark, sf_dir):
+    """Cells of all points, and cells of the lower left corners of all rectangles."""
+    p, r = view(spark, sf_dir, CITY), view(spark, sf_dir, RECTS)
+    return p.select(Q.point_code("lon", "lat", 12).alias("code")), r.select(Q.point_code("x0", "y0", 12).alias("code"))
 
 
 def cells_intersect(spark, sf_dir):
-    a, b = _two_sets(spark, sf_dir)
+    a, b = _two_tables(spark, sf_dir)
     return a.intersect(b)
 
 
 def cells_except(spark, sf_dir):
-    a, b = _two_sets(spark, sf_dir)
+    a, b = _two_tables(spark, sf_dir)
     return a.subtract(b)
 
 
-def _two_tables(spark, sf_dir):
-    """Cells of all points, and cells of the lower left corners of all rectangles."""
-    p, r = view(spark, sf_dir, CITY), view(spark, sf_dir, RECTS)
-    return p.select(Q.point_code("lon", "lat", 12).alias("code")), r.select(Q.point_code("x0", "y0", 12).alias("code"))
+def quad_grown_counts(spark, sf_dir):
+    """A table that grows in three parts has the leaves of one that was written at once; its rows, by those leaves."""
+    import uuid
+
+    t = GeoTable(spark, TableSpec("geolake_queries", f"grown_{uuid.uuid4().hex}", spark.conf.get("spark.sql.warehouse.dir")), "fsp")
+    p = _points(spark, sf_dir, CITY)
+    for i in range(3):
+        t.append_indexed(p.where(F.pmod(F.col("k") + F.col("n"), F.lit(3)) == i), driver_rows=10_000_000, max_rows=TREE_ROWS)
+    b = G.bbox("geometry")
+    rows = Q.assign(t.df().select(b.alias("b")), F.col("b"), t.tree(), "code")
+    return rows.groupBy("code").agg(F.count("*").alias("cnt"))
 
 
-def cells_intersect_all(spark, sf_dir):
-    a, b = _two_tables(spark, sf_dir)
-    return a.intersect(b)
+def drop_index(spark, sf_dir):
+    """After the index is dropped no row has a cell, and none is lost."""
+    t = _index_table(spark, sf_dir, "drop")
+    t.drop_index()
+    return t.df().agg(F.count("*").alias("cnt"), F.count("region_code").alias("coded"), F.count("geometry.bbox_partitioning").alias("cells"))
 
 
-def cells_except_all(spark, sf_dir):
-    a, b = _two_tables(spark, sf_dir)
-    return a.subtract(b)
+def _sql(spark, text: str, **frames) -> DataFrame:
+    from geolake.plans.sql import register_functions
+
+    register_functions(spark, "fsp")
+    return spark.sql(text, **frames)
+
+
+def sql_point_functions(spark, sf_dir):
+    """The SQL functions over stored points."""
+    text = """SELECT geoNum(lon, lat) AS num, findBucket(e).region_code AS code, round(calculateBbox(e).min_x, 6) AS x, countCoordinates(decodeGeometry(e)) AS n, count(*) AS cnt
+              FROM (SELECT lon, lat, createPointGeometry(lon, lat) AS e FROM {p}) GROUP BY ALL"""
+    return _sql(spark, text, p=view(spark, sf_dir, WORLD))
+
+
+def sql_geohash_group(spark, sf_dir):
+    return _sql(spark, "SELECT addgeohash(geometry) AS geohash, count(*) AS cnt FROM {p} GROUP BY 1", p=_points(spark, sf_dir, CITY))
+
+
+def sql_line_functions(spark, sf_dir):
+    return _sql(spark, "SELECT k, round(ST_Length(multiPointToLine(geometry)), 9) AS length, ST_XMax(geometry) AS x, countCoordinates(geometry) AS n FROM {t}", t=_tracks(spark, sf_dir))
+
+
+def sql_polygon_functions(spark, sf_dir):
+    text = "SELECT id, round(ST_Area(geometry), 12) AS area, round(ST_X(ST_Centroid(geometry)), 7) AS x, ST_Contains(geometry, ST_Point(x0 + w / 2, y0 + h / 8)) AS edge, ST_Contains(geometry, ST_Point(x0 + w / 2, y0 + h / 2)) AS hole FROM {r} JOIN {v} USING (id)"
+    return _sql(spark, text, r=_holed(spark, sf_dir), v=view(spark, sf_dir, RECTS))
+
+
+def sql_wkb_roundtrip(spark, sf_dir):
+    """Lines as WKB, encoded as a stored struct, decoded and measured."""
+    text = "SELECT sum(ST_NumPoints(decodeGeometry(e))) AS points, round(sum(ST_XMin(decodeGeometry(e))), 6) AS x FROM (SELECT encodeGeometry(ST_AsWKB(geometry)) AS e FROM {t})"
+    return _sql(spark, text, t=_tracks(spark, sf_dir))
 
 
 def _code(level: int, x: str = "lon", y: str = "lat") -> str:
@@ -450,6 +492,8 @@ def _half(lat: str) -> str:
 _INSIDE = f"x0 >= {YARD[0]} AND x0 + w <= {YARD[2]} AND y0 >= {YARD[1]} AND y0 + h <= {YARD[3]}"
 _RECT_BOX = f"x0 >= {BOX[0]} AND x0 + w <= {BOX[2]} AND y0 >= {BOX[1]} AND y0 + h <= {BOX[3]}"
 
+#: Whether (u, v), in units of a rectangle's sides, is inside the triangle of contains_general.
+_TRIANGLE = "({u} > 0 AND {v} > 0 AND {u} + {v} < 1)"
 ORACLE_SQL = {
     "xy_points_fsp": f"SELECT k, n, 1 AS type, lon AS x, lat AS y, 0 AS n_parts FROM ({WORLD})",
     "quad_code_depth4": f"SELECT {_code(4)} AS code, count(*) AS cnt FROM ({WORLD}) GROUP BY 1",
@@ -489,31 +533,33 @@ ORACLE_SQL = {
     "geohash_numeric": f"SELECT k, n, num, num6, num AS again FROM (SELECT k, n, CAST(CASE WHEN b & 4294967295 >= 2147483648 THEN (b & 4294967295) - 4294967296 ELSE b & 4294967295 END AS INTEGER) AS num, CAST(c AS BIGINT) AS num6 FROM (SELECT k, n, {_geohash_sql()} AS b, {_geohash_sql(6)} AS c FROM ({WORLD})))",
     "geohash_sorted_topk": f"SELECT k, n, {_text_sql('b')} AS geohash FROM (SELECT k, n, {_geohash_sql()} AS b FROM ({CITY})) ORDER BY geohash, k, n LIMIT 100",
     "spatial_join_points_cells": f"SELECT cid, count(*) AS cnt FROM ({WORLD}) JOIN ({CELLS}) ON lon >= xmin AND lon < xmax AND lat >= ymin AND lat < ymax GROUP BY cid",
-    "spatial_join_within": f"SELECT id, count(*) AS cnt FROM (SELECT * FROM ({CITY}) WHERE n = 1) JOIN ({RECTS}) ON lon > x0 AND lon < x0 + w AND lat > y0 AND lat < y0 + h GROUP BY id",
-    "spatial_semi_join": f"SELECT count(*) AS cnt, CAST(sum(k) AS BIGINT) AS keys FROM ({WORLD}) p WHERE EXISTS (SELECT 1 FROM ({CELLS}) c WHERE cid % 3 = 0 AND lon > xmin AND lon < xmax AND lat > ymin AND lat < ymax)",
-    "spatial_anti_join": f"SELECT count(*) AS cnt, CAST(sum(k) AS BIGINT) AS keys FROM ({WORLD}) p WHERE NOT EXISTS (SELECT 1 FROM ({CELLS}) c WHERE cid % 3 = 0 AND lon > xmin AND lon < xmax AND lat > ymin AND lat < ymax)",
     "union_start_end": f"""WITH p AS ({CITY}), e AS (SELECT arg_min(lon, (n, lon, lat)) AS lon, arg_min(lat, (n, lon, lat)) AS lat FROM p GROUP BY k UNION ALL SELECT arg_max(lon, (n, lon, lat)), arg_max(lat, (n, lon, lat)) FROM p GROUP BY k)
         SELECT {_code(12)} AS code, count(*) AS cnt FROM e GROUP BY 1""",
     "geojson_props_infer": "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS cnt, CAST(sum(event_id % 180) AS DOUBLE) AS xs FROM events GROUP BY 1",
     "ndjson_convert": f"SELECT CAST(cid AS BIGINT) AS cid, name, xmin AS x FROM ({CELLS})",
-    "reindex_new_rows": f"SELECT count(*) AS cnt, CAST(0 AS BIGINT) AS unindexed FROM ({CITY}) WHERE NOT ({_BOXED})",
     "parts_offsets_polygon": f"SELECT id, '0,-5' AS flat, '0,-5,9' AS nested, '3' AS tokens FROM ({RECTS})",
     "sp_roundtrip": f"SELECT id, 10 AS points, '0,-5' AS parts, round(w * h * 3 / 4, 12) AS area FROM ({RECTS})",
     "centroid": f"SELECT k, round(avg(lon), 9) AS x, round(avg(lat), 9) AS y FROM ({CITY}) GROUP BY k",
     "polygon_centroid": f"SELECT id, round(x0 + w / 2, 7) AS x, round(y0 + h / 2, 7) AS y FROM ({RECTS})",
     "start_end_point": f"SELECT k, arg_min(lon, (n, lon, lat)) AS x1, arg_min(lat, (n, lon, lat)) AS y1, arg_max(lon, (n, lon, lat)) AS x2, arg_max(lat, (n, lon, lat)) AS y2 FROM ({CITY}) GROUP BY k",
     "wkt_roundtrip": f"SELECT id, 3 AS type, x0 AS x, y0 AS y FROM ({RECTS})",
-    "cells_geojson_export": "SELECT count(*) AS polygons FROM nation",
-    "contains_general": "SELECT count(*) AS inside, CAST(0 AS BIGINT) AS beyond FROM part",
     "cell_rollup": f"SELECT parent, code, count(*) AS cnt, CAST(sum(n) AS BIGINT) AS lines FROM (SELECT {_code(3)} AS code, {_code(3)} >> 2 AS parent, n FROM ({WORLD})) GROUP BY ROLLUP (parent, code)",
     "rank_points_in_cell": f"SELECT code, CAST(r AS INTEGER) AS r, lon, lat FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY lon, lat, k, n) AS r FROM (SELECT *, {_code(4)} AS code FROM ({WORLD}))) WHERE r <= 3",
-    "cells_intersect": f"WITH p AS (SELECT n, {_code(6)} AS code FROM ({WORLD})) SELECT code FROM p WHERE n = 1 INTERSECT SELECT code FROM p WHERE n = 5",
-    "cells_except": f"WITH p AS (SELECT n, {_code(6)} AS code FROM ({WORLD})) SELECT code FROM p WHERE n = 1 EXCEPT SELECT code FROM p WHERE n = 5",
-    "spatial_join_within_all": f"SELECT id, count(*) AS cnt FROM ({CITY}) JOIN ({RECTS}) ON lon > x0 AND lon < x0 + w AND lat > y0 AND lat < y0 + h GROUP BY id",
-    "spatial_semi_join_all": f"SELECT count(*) AS cnt, CAST(sum(k) AS BIGINT) AS keys FROM ({WORLD}) p WHERE EXISTS (SELECT 1 FROM ({CELLS}) c WHERE lon > xmin AND lon < xmax AND lat > ymin AND lat < ymax)",
-    "spatial_anti_join_all": f"SELECT count(*) AS cnt, CAST(sum(k) AS BIGINT) AS keys FROM ({WORLD}) p WHERE NOT EXISTS (SELECT 1 FROM ({CELLS}) c WHERE lon > xmin AND lon < xmax AND lat > ymin AND lat < ymax)",
-    "cells_intersect_all": f"SELECT {_code(12)} AS code FROM ({CITY}) INTERSECT SELECT {_code(12, 'x0', 'y0')} AS code FROM ({RECTS})",
-    "cells_except_all": f"SELECT {_code(12)} AS code FROM ({CITY}) EXCEPT SELECT {_code(12, 'x0', 'y0')} AS code FROM ({RECTS})",
+    "spatial_join_within": f"SELECT id, count(*) AS cnt FROM ({CITY}) JOIN ({RECTS}) ON lon > x0 AND lon < x0 + w AND lat > y0 AND lat < y0 + h GROUP BY id",
+    "cells_intersect": f"SELECT {_code(12)} AS code FROM ({CITY}) INTERSECT SELECT {_code(12, 'x0', 'y0')} AS code FROM ({RECTS})",
+    "cells_except": f"SELECT {_code(12)} AS code FROM ({CITY}) EXCEPT SELECT {_code(12, 'x0', 'y0')} AS code FROM ({RECTS})",
+    **{f"spatial_{x}_join": f"SELECT count(*) AS cnt, CAST(sum(k) AS BIGINT) AS keys FROM ({CITY}) p WHERE {no} EXISTS (SELECT 1 FROM ({RECTS}) WHERE lon > x0 AND lon < x0 + w AND lat > y0 AND lat < y0 + h)" for x, no in (("semi", ""), ("anti", "NOT"))},
+    "reindex_new_rows": f"""SELECT (SELECT count(*) FROM lineitem) + 6 * s AS all_rows, 4 * s AS no_cell, 2 * s AS beyond, c AS cnt, c AS found
+        FROM (SELECT count(*) AS s FROM supplier), (SELECT count(*) AS c FROM ({CITY}) WHERE NOT ({_BOXED}))""",
+    "cells_geojson_export": f"SELECT CAST(rank() OVER (PARTITION BY i ORDER BY xmin, ymin) - 1 AS BIGINT) AS polygon, CAST(1 + i AS BIGINT) AS corner, CASE WHEN i IN (1, 2) THEN xmax ELSE xmin END AS x, CASE WHEN i IN (2, 3) THEN ymax ELSE ymin END AS y FROM ({CELLS}), range(5) t(i)",
+    "contains_general": f"SELECT id, {_TRIANGLE.format(u='u', v='v')} AS inside, {_TRIANGLE.format(u='(u / 2)', v='(v / 2)')} AND {_TRIANGLE.format(u='u', v='v')} AS line_inside FROM (SELECT id, (id % 10 + 1) / 15.5::DOUBLE AS u, (id % 7 + 1) / 15.5::DOUBLE AS v FROM ({RECTS}))",
+    "quad_grown_counts": _ADAPTIVE + "SELECT code, count(*) AS cnt FROM own GROUP BY code",
+    "drop_index": "SELECT count(*) AS cnt, CAST(0 AS BIGINT) AS coded, CAST(0 AS BIGINT) AS cells FROM lineitem",
+    "sql_point_functions": f"SELECT CAST(CASE WHEN b & 4294967295 >= 2147483648 THEN (b & 4294967295) - 4294967296 ELSE b & 4294967295 END AS INTEGER) AS num, code, round(lon, 6) AS x, 1 AS n, count(*) AS cnt FROM (SELECT lon, {_code(4)} AS code, {_geohash_sql()} AS b FROM ({WORLD})) GROUP BY ALL",
+    "sql_geohash_group": f"SELECT {_text_sql('b')} AS geohash, cnt FROM (SELECT {_geohash_sql()} AS b, count(*) AS cnt FROM ({CITY}) GROUP BY 1)",
+    "sql_line_functions": _TRACK + "SELECT k, CASE WHEN count(*) >= 2 THEN round(sum(CASE WHEN px IS NULL THEN 0 ELSE sqrt((lon - px) ** 2 + (lat - py) ** 2) END), 9) END AS length, max(lon) AS x, CAST(count(*) AS INTEGER) AS n FROM s GROUP BY k",
+    "sql_polygon_functions": f"SELECT id, round(w * h * 3 / 4, 12) AS area, round(x0 + w / 2, 7) AS x, true AS edge, false AS hole FROM ({RECTS})",
+    "sql_wkb_roundtrip": f"SELECT CAST(sum(c) AS BIGINT) AS points, round(sum(x), 6) AS x FROM (SELECT count(*) AS c, min(lon) AS x FROM ({CITY}) GROUP BY k)",
 }
 
 QUERIES = {
@@ -523,7 +569,7 @@ QUERIES = {
         trajectory_line_filter, trajectory_length, bbox_diagonal_avg, box_contains_area, area_spheroid_rect, holed_area, bbox_in_box_count, vertex_count_sum, geohash8_group, geohash_numeric, geohash_sorted_topk,
         region_histogram, spatial_join_points_cells, spatial_join_within, spatial_semi_join, spatial_anti_join, union_start_end, geojson_props_infer, ndjson_convert, reindex_new_rows, rebuild_index,
         parts_offsets_polygon, sp_roundtrip, centroid, polygon_centroid, start_end_point, wkt_roundtrip, cells_geojson_export, contains_general, cell_rollup, rank_points_in_cell, cells_intersect, cells_except,
-        spatial_join_within_all, spatial_semi_join_all, spatial_anti_join_all, cells_intersect_all, cells_except_all,
+        quad_grown_counts, drop_index, sql_point_functions, sql_geohash_group, sql_line_functions, sql_polygon_functions, sql_wkb_roundtrip,
     )
 }
 QUERIES |= {f"decode_sum_diff_{x}": _decode_sum(x) for x in CODECS}
