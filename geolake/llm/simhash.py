@@ -102,21 +102,9 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
-def bk_components(fps: np.ndarray, shard: np.ndarray, radius: int) -> np.ndarray:
-    """Components of fingerprints that lie within ``radius`` bits of each other in the same shard.
-
-    ``fps`` has a row of 64-bit numbers for each item, distinct within a shard; ``shard`` is sorted. Builds one BK-tree per shard, level
-    by level for all shards at once: each item steps to the child whose edge is its distance to the current node, and
-    the first to find no child becomes it. Each item is then searched for in its tree along edges within the
-    radius only. Subtrees that already belong wholly to the item's component are left out, so that a dense group of m
-    near copies costs about m steps instead of m * m. Returns the smallest index of each component.
-    """
-    n = len(fps)
-    if n < 2:
-        return np.arange(n)
-    span = 64 * fps.shape[1] + 1
-    first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
-    root = np.repeat(first, np.diff(np.r_[first, n]))
+def _bk_trees(fps: np.ndarray, root: np.ndarray, radius: int):
+    """BK-trees of items with the same ``root``: parent, edge and depth of each item, and the links met on the way."""
+    n, span = len(fps), 64 * fps.shape[1] + 1
     parent, edge, depth = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
     live = np.flatnonzero(root != np.arange(n))
     at, level, links = root[live], 0, [(np.zeros(0, int), np.zeros(0, int))]
@@ -132,6 +120,53 @@ def bk_components(fps: np.ndarray, shard: np.ndarray, radius: int) -> np.ndarray
         child = live[new]
         parent[child], edge[child], depth[child] = at[new], d[new], level
         live, at = live[~new], live[head][~new]
+    return parent, edge, depth, links
+
+
+def bk_pairs(fps: np.ndarray, radius: int):
+    """All pairs of items within ``radius`` bits, (larger index, smaller index), some at a time: each is searched for in one BK-tree."""
+    n = len(fps)
+    if n < 2:
+        return
+    span = 64 * fps.shape[1] + 1
+    parent, edge, _, _ = _bk_trees(fps, np.zeros(n, np.int64), radius)
+    kids = np.flatnonzero(parent >= 0)
+    key = parent[kids] * span + edge[kids]
+    order = np.argsort(key)
+    kids, key = kids[order], key[order]
+    stack = [(np.arange(n)[s : s + FRONT], np.zeros(len(range(n)[s : s + FRONT]), np.int64)) for s in range(0, n, FRONT)]
+    while stack:
+        q, node = stack.pop()
+        d = _distance(fps[q], fps[node])
+        hit = (d <= radius) & (q > node)
+        if hit.any():
+            yield q[hit], node[hit]
+        lo = np.searchsorted(key, node * span + np.maximum(d - radius, 0))
+        count = np.searchsorted(key, node * span + np.minimum(d + radius, span - 1), side="right") - lo
+        cut = np.flatnonzero(np.diff(np.cumsum(count) // FRONT)) + 1  # about FRONT children at once
+        for a, b in zip(np.r_[0, cut], np.r_[cut, len(q)]):
+            some = count[a:b]
+            if some.sum():
+                pick = np.repeat(lo[a:b] - np.r_[0, np.cumsum(some)[:-1]], some) + np.arange(some.sum())
+                stack.append((np.repeat(q[a:b], some), kids[pick]))
+
+
+def bk_components(fps: np.ndarray, shard: np.ndarray, radius: int) -> np.ndarray:
+    """Components of fingerprints that lie within ``radius`` bits of each other in the same shard.
+
+    ``fps`` has a row of 64-bit numbers for each item, distinct within a shard; ``shard`` is sorted. Builds one BK-tree per shard, level
+    by level for all shards at once: each item steps to the child whose edge is its distance to the current node, and
+    the first to find no child becomes it. Each item is then searched for in its tree along edges within the
+    radius only. Subtrees that already belong wholly to the item's component are left out, so that a dense group of m
+    near copies costs about m steps instead of m * m. Returns the smallest index of each component.
+    """
+    n = len(fps)
+    if n < 2:
+        return np.arange(n)
+    span = 64 * fps.shape[1] + 1
+    first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+    root = np.repeat(first, np.diff(np.r_[first, n]))
+    parent, edge, depth, links = _bk_trees(fps, root, radius)
     label = _labels(n, *map(np.concatenate, zip(*links)))
     least, most = label.copy(), label.copy()
     by_depth = np.argsort(-depth, kind="stable")

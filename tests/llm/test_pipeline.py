@@ -45,9 +45,13 @@ def test_pipeline(spark):
 
 
 def test_stages_on_odd_rows(spark, corpus):
-    docs = corpus.select("doc_id", "text", "lang", "source").selectExpr("*", "cast(length(text) as long) as n_chars")
+    """Columns that operators name their results after come back as they were."""
+    clash = "cast(length(text) as long) as n_chars, 7.0D as score, 'p' as predicted, array(1) as spans, 'k' as kept, 3 as n_words, 'c' as cleaned, 'h' as hits, doc_id as items, false as held_out, 2 as longest_match, 'n' as `__null`"
+    docs = corpus.select("doc_id", "text", "lang", "source").selectExpr("*", *clash.split(", "))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, DATA)
-        assert out.columns == docs.columns, name
-        assert out.count() > 0
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        rows = out.collect()
+        assert rows and {(r.score, r.predicted, tuple(r.spans), r.kept, r.n_words, r.cleaned, r.hits, r.held_out, r.longest_match) for r in rows} == {(7.0, "p", (1,), "k", 3, "c", "h", False, 2)}, name
+        assert all(r["items"] == r.doc_id and r.n_chars == (None if r.text is None else len(r.text)) for r in rows), name
         assert stage(spark, docs.limit(0), DATA).count() == 0
