@@ -5,8 +5,12 @@ The text of each document is parsed at *triggers*: positions whose rolling hash
 the same trigger at the same place. The *phrase* of a trigger holds all windows it can be the trigger of (up to ``REACH`` bytes to the
 left, ``LENGTH`` from its start to the right, within the document). The *dictionary* has each distinct phrase
 once, with the smallest document it occurs in; the *parse* is each chunk's list of phrases. Highly repetitive text makes the dictionary
-small, and only its phrases, not their copies, are compared: the phrases of one trigger are brought into order by their suffixes, which need to be
-compared to a depth of ``LENGTH`` bytes only, and dictionary order plus parse then decide every window of the corpus.
+small, and only its phrases, not their copies, are sorted: each range of the dictionary gets the suffix array of its phrases, to a depth of
+``LENGTH`` bytes. Suffixes of one rank are equal windows, and with the parse that decides every window of the corpus. An array of the
+parse itself would order suffixes beyond the end of a phrase; windows never reach there.
+
+Phrases count as copies if their 64-bit hashes and their triggers' agree; among a million variants of one trigger the chance that any two differ
+all the same is 3e-8. Windows of different phrases are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -23,7 +27,11 @@ LENGTH, K = 50, 20
 REACH = LENGTH - K
 #: Bytes of text in a chunk, about: the unit that is parsed in one piece, and the most of a dictionary range.
 CHUNK = 4_000_000
-MOST_BUCKETS = 65_536
+#: Chunks whose dictionaries make up one range of the dictionary, and the most ranges (so many rows a chunk sends at most; beyond 1 TB
+#: of text the ranges grow instead).
+CHUNKS, MOST_BUCKETS = 4, 65_536
+#: Bytes of text in a partition, about.
+PARTITION = 64_000_000
 SEGMENT = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 _NONE = np.iinfo(np.int64).max
@@ -149,7 +157,7 @@ def _dictionary(chunk: _Chunk, number: int, buckets: int) -> pa.Table:
         s = slice(chunk.start[b], chunk.start[b + 1])
         if s.start < s.stop:
             f = chunk.first[s]
-            rows.append((b, number, _pack(p.trigger[f] // np.uint64(buckets), 6), _pack(p.phrase[f], 6), _pack(chunk.least[s].view(np.uint64), 8), np.packbits(chunk.several[s]).tobytes()))
+            rows.append((b, number, _pack(p.trigger[f] // np.uint64(buckets), 6), _pack(p.phrase[f], 8), _pack(chunk.least[s].view(np.uint64), 8), np.packbits(chunk.several[s]).tobytes()))
     return _rows(rows)
 
 
@@ -160,7 +168,7 @@ def _merge(table: pa.Table) -> pa.Table:
     trigger = [_unpack(x, 6) for x in table.column("a").to_pylist()]
     size = np.array([len(x) for x in trigger])
     trigger = np.concatenate(trigger)
-    phrase = np.concatenate([_unpack(x, 6) for x in table.column("b").to_pylist()])
+    phrase = np.concatenate([_unpack(x, 8) for x in table.column("b").to_pylist()])
     doc = np.concatenate([_unpack(x, 8) for x in table.column("c").to_pylist()]).view(np.int64)
     several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table.column("d").to_pylist(), size)]).astype(bool)
     by = np.lexsort((doc, phrase, trigger))
@@ -222,6 +230,26 @@ def _resolve(chunk: _Chunk, number: int, said: pa.Table, buckets: int) -> pa.Tab
     return _rows(rows)
 
 
+def suffix_ranks(text: np.ndarray) -> np.ndarray:
+    """The suffix array's ranks to a depth of LENGTH bytes: equal for suffixes whose first LENGTH bytes are equal (or run into the end alike).
+
+    By prefix doubling: ranks to depth 2 k come from pairs of ranks to depth k; LENGTH bytes are two overlapping runs of the last
+    power of two. Bytes are compared, not hashes.
+    """
+    rank, depth, n = text.astype(np.int64) + 1, 1, len(text)
+
+    def joined(step: int) -> np.ndarray:
+        second = np.r_[rank[step:], np.zeros(min(step, n), np.int64)]
+        return np.unique(rank * (int(rank.max(initial=0)) + 1) + second, return_inverse=True)[1].astype(np.int64) + 1
+
+    while 2 * depth <= LENGTH:
+        rank = joined(depth)
+        depth *= 2
+    if depth < LENGTH:
+        rank = joined(LENGTH - depth)
+    return rank - 1
+
+
 def _compare(table: pa.Table) -> pa.Table:
     """Phrases of one dictionary range, window by window; a span list just passes."""
     if table.column("key")[0].as_py() < 0:
@@ -238,28 +266,24 @@ def _compare(table: pa.Table) -> pa.Table:
     by = np.argsort(trigger, kind="stable")
     bounds = np.flatnonzero(np.r_[True, np.diff(trigger[by]) != 0])
     marks = np.zeros(len(at), np.uint32)
-    columns = np.arange(REACH + LENGTH)
     begin = 0
     while begin < len(by):  # some thousand phrases at once, whole triggers
         k = np.searchsorted(bounds, begin + 10_000)
         end = bounds[k] if k < len(bounds) else len(by)
         i = by[begin:end]
         begin = end
-        where = columns - REACH
-        inside = (where >= -left[i, None]) & (where < right[i, None])
-        spot = np.where(inside, start[i, None] + left[i, None] + where, 0)
-        total = np.zeros((len(i), REACH + LENGTH + 1), np.uint64)
-        np.cumsum(np.where(inside, _BYTE[text[spot]] * _DOWN[: REACH + LENGTH], np.uint64(0)), axis=1, out=total[:, 1:])
-        window = total[:, LENGTH:] - total[:, : REACH + 1]
-        whole = inside[:, : REACH + 1] & inside[:, LENGTH - 1 :]
-        key = _mix(_mix(window + _mix(trigger[i])[:, None]) + np.arange(1, REACH + 2, dtype=np.uint64) * np.uint64(_BASE))[whole]
-        of = np.repeat(i, whole.sum(axis=1))
-        offset = np.broadcast_to(np.arange(REACH + 1), whole.shape)[whole]
-        order = np.argsort(key)
-        new = np.r_[True, np.diff(key[order]) != 0]
-        least = np.minimum.reduceat(doc[of[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
-        gone = order[least < doc[of[order]]]
-        np.bitwise_or.at(marks, of[gone], np.uint32(1) << offset[gone].astype(np.uint32))
+        size = left[i] + right[i]
+        first = np.cumsum(size) - size
+        rank = suffix_ranks(text[np.repeat(start[i] - first, size) + np.arange(size.sum())])
+        windows = size - LENGTH + 1  # suffixes that have LENGTH bytes within their phrase
+        of = np.repeat(np.arange(len(i)), windows)
+        offset = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+        place = rank[first[of] + offset]
+        least = np.full(len(rank), _NONE)
+        np.minimum.at(least, place, doc[i[of]])
+        gone = np.flatnonzero(least[place] < doc[i[of]])
+        where = REACH - left[i[of[gone]]] + offset[gone]
+        np.bitwise_or.at(marks, i[of[gone]], np.uint32(1) << where.astype(np.uint32))
     rows = []
     hit = np.flatnonzero(marks)
     hit = hit[np.argsort(chunk[hit], kind="stable")]
@@ -316,10 +340,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     chunks = max(8, -(-total // CHUNK))
-    buckets = min(chunks, MOST_BUCKETS)
+    buckets = min(max(8, chunks // CHUNKS), MOST_BUCKETS)
     rest = cleaned_col or "kept"
     kept = [c for c in docs.columns if c not in (text_col, rest, "spans")]
-    parts = shuffle_partitions(docs.sparkSession)
+    parts = max(shuffle_partitions(docs.sparkSession), -(-total // PARTITION))
     base = docs.select(
         *[F.col(f"`{c}`") for c in kept],
         utf8(F.col(text_col)).alias("__text"),
@@ -340,7 +364,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _finish(table, said, names, cleaned_col is not None)
 
     entries = base.groupBy("__chunk").applyInArrow(dictionary, _SAID)
-    answers = entries.groupBy("key").applyInArrow(_merge, _SAID)
-    asked = base.groupBy("__chunk").cogroup(answers.groupBy("chunk")).applyInArrow(resolve, _SAID)
-    decided = asked.groupBy("key").applyInArrow(_compare, _SAID)
+    answers = entries.repartition(parts, "key").groupBy("key").applyInArrow(_merge, _SAID).repartition(parts, "chunk")
+    asked = base.groupBy("__chunk").cogroup(answers.groupBy("chunk")).applyInArrow(resolve, _SAID).repartition(parts, "key")
+    decided = asked.groupBy("key").applyInArrow(_compare, _SAID).repartition(parts, "chunk")
     return base.groupBy("__chunk").cogroup(decided.groupBy("chunk")).applyInArrow(finish, schema)
