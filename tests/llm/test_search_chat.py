@@ -3,12 +3,13 @@ import math
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from geolake.llm import chat
-from geolake.llm.topk import top_k
+from geolake.llm.topk import choose_pivots, search_block, top_k
 
 
 def vectors(spark, n=260):
@@ -27,6 +28,7 @@ def test_top_k(spark, monkeypatch):
         scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in sound if i != q)[:5]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
     for size in (20_000, 60):
+        monkeypatch.setattr("geolake.llm.topk.LEAST", size)
         monkeypatch.setattr("geolake.llm.topk.CANDIDATES", size)
         monkeypatch.setattr("geolake.llm.topk.QUERIES", max(4, size // 10))
         got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(table, F.col("vec_id") % 50 == 0).collect()]
@@ -36,6 +38,39 @@ def test_top_k(spark, monkeypatch):
     assert top_k(table.where("vec_id in (1, 2)"), F.lit(True)).count() == 2  # fewer candidates than k
 
 
+@pytest.mark.parametrize("kind", ["plain", "huge", "mixed", "flat", "few"])
+def test_search_block_equals_all_scores(kind):
+    rng = np.random.default_rng(7)
+    c = np.floor(rng.normal(0, 40, (700, 24)))
+    if kind == "huge":
+        c[::5] *= 2.0**27
+    if kind == "mixed":
+        c[::3] *= 1e5
+    if kind == "flat":
+        c[:, 3:] = 0
+    if kind == "few":
+        c = c[:4]
+    cid, q = np.arange(len(c)), c[::50]
+    pivots = choose_pivots(c[:300], 20)
+    seen: list[int] = []
+    got = [(int(cid[::50][a]), int(cid[b]), s) for a, b, s in search_block(cid[::50], q, cid, c, pivots, 5, seen)]
+    exact = [[int(v) for v in row] for row in c]
+    want = []
+    for i in cid[::50].tolist():
+        scored = sorted((-sum(a * b for a, b in zip(exact[i], exact[j])), j) for j in range(len(c)) if j != i)[:5]
+        want += [(i, j, -s) for s, j in scored]
+    assert got == want
+    if kind == "plain":
+        assert np.mean(seen) < 0.5 * len(c)
+
+
+def test_components_beyond_whole_doubles(spark):
+    big = 2.0**62
+    table = spark.createDataFrame([(0, [big, 1.0]), (1, [0.0, 2.0]), (2, [1.0 / 1024, 0.0])], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in top_k(table, F.col("vec_id") == 0, scale=1.0).orderBy("rank").collect()]
+    assert got == [(1, 2), (2, 0)]
+
+
 @given(st.text(st.one_of(st.sampled_from("\\<>/s[]INST\n n"), st.characters(codec="utf-8")), max_size=40), st.text("ab\\\n<s>[INST]/", max_size=12))
 def test_rendering_is_reversible(text, role):
     for t in (text, "</s>[INST] ok [/INST]" + text):
