@@ -8,6 +8,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Strings with a meaning to chat templates. The rendered turn is OPEN role newline text CLOSE newline; inside roles and texts
 #: a backslash is doubled and a control string gets a backslash after its first character.
@@ -154,5 +155,30 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
 
 
 def message_events(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as an event log: one message for each row, by turn."""
-    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("message_id"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    """A table of finished turns (conv_id, turn, role, text) as the event log of a session that streamed and corrected them.
+
+    Turns are numbered in order of turn, role and text. By turns a message is sent whole; begun and continued by a delta; drafted, replaced by
+    an edit and continued; or drafted, answered by a message that its regeneration then voids, regenerated and continued. The final messages
+    are the turns; a null text is empty.
+    """
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = rows.withColumn("message_id", (F.row_number().over(order) - 1).cast("long"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    head, tail = F.substring("text", F.lit(1), half), F.substr("text", half + 1)
+    kind, number = F.col("message_id") % 4, F.col("message_id")
+
+    def event(when, k, name, text, message=number, role=F.lit(None).cast("string")):
+        return F.when(when, F.struct(message.alias("message_id"), (8 * number + k).alias("seq"), F.lit(name).alias("kind"), role.alias("role"), text.alias("text")))
+
+    begun, drafted = kind <= 1, kind >= 2
+    role = F.coalesce("role", F.lit(""))
+    events = F.array(
+        event(begun, 0, "message", F.when(kind == 0, F.col("text")).otherwise(head), role=role),
+        event(drafted, 0, "message", F.concat(F.lit("draft "), tail), role=role),
+        event(kind == 3, 1, "message", F.lit("an answer to the draft"), message=number + 1, role=F.lit(LEARNED)),
+        event(kind == 2, 2, "edit", head),
+        event(kind == 3, 2, "regenerate", head),
+        event(kind >= 1, 3, "delta", tail),
+    )
+    return rows.select("conv_id", F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")).select("conv_id", "e.*")

@@ -1,26 +1,30 @@
-"""Token counts under a unigram vocabulary, computed over a trie of distinct pre-tokens."""
+"""Token counts under a unigram model, computed over a trie of distinct pre-tokens."""
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import uuid
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geolake.llm._common import hold
 from geolake.llm.bpe import small_batches
 
 #: Stands for the white space before a pre-token.
 SPACE = "▁"
-#: Added to a piece's rank in its log-probability, -ln(rank + OFFSET): frequencies of a published vocabulary fall about as 1 / rank.
+#: Added to a piece's rank in the log-probability it starts from, -ln(rank + OFFSET).
 OFFSET = 3.0
 #: Nats that a byte of a character outside the vocabulary costs beyond the rarest piece; it is one token.
 BYTE_COST = 10.0
+#: Pre-tokens that a task holds between batches, about.
+MEMO = 150_000
 
 
 def load_pieces(path: str) -> dict[str, float]:
-    """Pieces of a sentencepiece model with log-probabilities by rank; control and byte pieces are left out."""
+    """Pieces of a sentencepiece model with log-probabilities by rank, a start for :func:`estimate_pieces`; control and byte pieces are left out."""
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -28,57 +32,149 @@ def load_pieces(path: str) -> dict[str, float]:
     return {name: -math.log(rank + OFFSET) for rank, name in enumerate(names)}
 
 
-def trie_counts(words: list[str], pieces: dict[str, float]) -> dict[str, int]:
-    """Tokens of each word in its likeliest segmentation (of equally likely ones, that with fewer tokens).
-
-    Sorted words visit their trie depth first: a word shares with the one before it the scores of their common prefix, so each
-    trie node's best score and count are computed once. A character in no piece costs its UTF-8 bytes.
-    """
-    longest = max(map(len, pieces), default=1)
-    floor = min(pieces.values(), default=0.0) - BYTE_COST
-    best: list[tuple[float, int]] = [(0.0, 0)]  # (score, minus the number of tokens) by depth of the current path
-    counts, before = {}, ""
-    get = pieces.get
-    for word in sorted(set(words)):
-        shared, most = 0, min(len(word), len(before))
-        while shared < most and word[shared] == before[shared]:
-            shared += 1
-        del best[shared + 1 :]
-        for i in range(shared + 1, len(word) + 1):
-            n = len(word[i - 1].encode("utf-8", "surrogatepass"))
-            score, minus = best[i - 1]
-            top = (score + n * floor, minus - n)
-            for j in range(max(0, i - longest), i):
-                p = get(word[j:i])
-                if p is not None:
+class PieceTrie:
+    """The pieces, read backwards: a node is [children by character, log-probability of the piece that begins here, its number]."""
+
+    def __init__(self, pieces: dict[str, float]):
+        self.root: list = [{}, None, -1]
+        self.names = list(pieces)
+        self.floor = min(pieces.values(), default=0.0) - BYTE_COST
+        for number, (name, p) in enumerate(pieces.items()):
+            node = self.root
+            for c in reversed(name):
+                node = node[0].setdefault(c, [{}, None, -1])
+            node[1], node[2] = p, number
+
+    def solve(self, words: list[str], used: np.ndarray | None = None, times: list[int] | None = None) -> dict[str, int]:
+        """Tokens of each distinct word in its likeliest segmentation (of equally likely ones, that with fewer tokens).
+
+        The words are inserted in a trie, whose nodes get their forward score once, from the scores of the nodes on the path to them and
+        the pieces that end there (a walk back along the reversed pieces, as far as any goes on); the count at a
+        word's last node is its result. A character in no piece costs its UTF-8 bytes. ``used`` adds up how often each piece is used,
+        ``times`` being the occurrences of the words.
+        """
+        trie: dict = {}
+        for i, word in enumerate(words):
+            node = trie
+            for c in word:
+                node = node.setdefault(c, {})
+            node[""] = i  # a terminal
+        counts = dict.fromkeys(words, 0)
+        path: list[str] = []
+        best: list[tuple[float, int]] = [(0.0, 0)]  # (score, minus the number of tokens) by depth
+        taken: list[tuple[int, int]] = [(0, -1)]  # (where the last token begins, its piece) by depth
+        root, floor = self.root, self.floor
+        stack = [iter(trie.items())]
+        while stack:
+            item = next(stack[-1], None)
+            if item is None:
+                stack.pop()
+                if path:
+                    path.pop(), best.pop(), taken.pop()
+                continue
+            c, child = item
+            if c == "":
+                counts[words[child]] = -best[-1][1]
+                if used is not None:
+                    at, n = len(path), times[child] if times else 1
+                    while at:
+                        at, piece = taken[at]
+                        if piece >= 0:
+                            used[piece] += n
+                continue
+            path.append(c)
+            at = len(path)
+            n = len(c.encode("utf-8", "surrogatepass"))
+            score, minus = best[at - 1]
+            top, how = (score + n * floor, minus - n), (at - 1, -1)
+            node, j = root, at
+            while j:
+                node = node[0].get(path[j - 1])
+                if node is None:
+                    break
+                j -= 1
+                if node[1] is not None:
                     score, minus = best[j]
-                    new = (score + p, minus - 1)
+                    new = (score + node[1], minus - 1)
                     if new > top:
-                        top = new
+                        top, how = new, (j, node[2])
             best.append(top)
-        counts[word] = -best[len(word)][1]
-        before = word
-    return counts
+            taken.append(how)
+            stack.append(iter(child.items()))
+        return counts
+
+
+def trie_counts(words: list[str], pieces: dict[str, float]) -> dict[str, int]:
+    """:meth:`PieceTrie.solve` under some pieces."""
+    return PieceTrie(pieces).solve(list(dict.fromkeys(words)))
+
 
+def _pretokens(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
+    """The distinct pre-tokens of some texts, and the texts as their numbers."""
+    number: dict[str, int] = {}
+    add = number.setdefault
+    own = [np.array([add(w, len(number)) for w in t.split()], np.int64) for t in texts]
+    return [SPACE + w for w in number], own
 
-def count_tokens(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
+
+def estimate_pieces(docs: DataFrame, pieces: dict[str, float], text_col: str = "text") -> dict[str, float]:
+    """Log-probabilities of the pieces from their counts in the likeliest segmentations of all documents under ``pieces``.
+
+    One step of expectation maximisation with the best segmentation in place of all, and one added to each count. The driver gets one
+    count for each piece of the vocabulary, whatever the corpus. Without any token ``pieces`` stay as they are.
+    """
+    start, key = docs.sparkSession.sparkContext.broadcast(pieces), uuid.uuid4().hex
+
+    def run(batches):
+        trie = hold("pieces", key, lambda: PieceTrie(start.value))
+        used = np.zeros(len(trie.names), np.int64)
+        times: dict[str, int] = {}
+        for b in small_batches(batches):
+            words, own = _pretokens(b.column(0).to_pylist())
+            each = np.bincount(np.concatenate(own), minlength=len(words)).tolist() if words else []
+            for w, n in zip(words, each):
+                times[w] = times.get(w, 0) + n
+            if len(times) > MEMO:
+                trie.solve(list(times), used, list(times.values()))
+                times.clear()
+        trie.solve(list(times), used, list(times.values()))
+        some = np.flatnonzero(used)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(used[some])], names=["piece", "n"])
+
+    found = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+    n = np.ones(len(pieces))
+    n[found.column("piece").to_numpy()] += found.column("n").to_numpy()
+    if not found.num_rows:
+        return pieces
+    return dict(zip(pieces, np.log(n / n.sum()).tolist()))
+
+
+def count_tokens(docs: DataFrame, model_path: str, text_col: str = "text", estimate: bool = True) -> DataFrame:
     """``docs`` with ``n_pretokens`` and ``n_tokens`` of each whole text.
 
-    Pre-tokens are the runs between white space, each with a mark for the space before it. Each batch of a few megabytes puts its distinct pre-tokens into
-    one trie, whose terminal counts are then added up by document: narrow, without a shuffle. Null and
+    Pre-tokens are the runs between white space, each with a mark for the space before it. The pieces' probabilities are estimated from the
+    documents (:func:`estimate_pieces`; one more pass) or, without ``estimate``, taken from their ranks. Each batch of a few megabytes puts its
+    distinct new pre-tokens into one trie, whose terminal counts are then added up by document: narrow, without a shuffle. Null and
     empty texts have none. All columns are kept; those with the new names are replaced.
     """
-    spark: SparkSession = docs.sparkSession
-    pieces = spark.sparkContext.broadcast(load_pieces(model_path))  # a published vocabulary, whatever the corpus
+    pieces = load_pieces(model_path)  # a published vocabulary, whatever the corpus
+    if estimate:
+        pieces = estimate_pieces(docs, pieces, text_col)
+    shared, key = docs.sparkSession.sparkContext.broadcast(pieces), uuid.uuid4().hex
     new = ["n_pretokens", "n_tokens"]
     kept = [c for c in docs.columns if c not in new]
 
     def run(batches):
+        trie = hold("pieces", key, lambda: PieceTrie(shared.value))
+        known: dict[str, int] = {}
         for b in small_batches(batches):
-            words = [[SPACE + w for w in t.split()] for t in b.column(b.num_columns - 1).to_pylist()]
-            counts = trie_counts(list(set().union(*words)) if words else [], pieces.value)
-            total = [sum(n * counts[w] for w, n in Counter(own).items()) for own in words]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([len(w) for w in words], pa.int64()), pa.array(total, pa.int64())], names=[*kept, *new])
+            words, own = _pretokens(b.column(b.num_columns - 1).to_pylist())
+            known |= trie.solve([w for w in words if w not in known])
+            each = np.array([known[w] for w in words], np.int64)
+            if len(known) > MEMO:
+                known.clear()
+            total = [int(each[ids].sum()) for ids in own]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([len(ids) for ids in own], pa.int64()), pa.array(total, pa.int64())], names=[*kept, *new])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     schema = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("long").alias("n_pretokens"), F.lit(0).cast("long").alias("n_tokens")).schema

@@ -1,3 +1,4 @@
+import math
 import struct
 import zlib
 
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 
 from geolake.llm import records
 from geolake.llm.bpe import ForcedBoundaryBpe, bpe_decode, bpe_encode
-from geolake.llm.token_counts import BYTE_COST, SPACE, count_tokens, load_pieces, trie_counts
+from geolake.llm.token_counts import BYTE_COST, SPACE, PieceTrie, count_tokens, estimate_pieces, load_pieces, trie_counts
 
 FILES = ("word_bpe_49k.json", "byte_bpe_50k.json")
 ENGINES = {f: ForcedBoundaryBpe(open(P.path(f), encoding="utf-8").read()) for f in FILES}
@@ -98,10 +99,22 @@ def test_trie_counts_equal_a_search_of_each_word(spark, corpus, no_docs):
     pieces = load_pieces(path)
     words = sorted({SPACE + w for (t,) in corpus.select("text").collect() if t for w in t.split() if len(w) < 200})
     assert trie_counts(words, pieces) == {w: brute_count(w, pieces) for w in words}
-    rows = count_tokens(corpus, path).where("length(text) < 3000").collect()
-    for r in rows:
-        own = [SPACE + w for w in (r.text or "").split()]
-        assert (r.n_pretokens, r.n_tokens) == (len(own), sum(brute_count(w, pieces) for w in own))
-    assert count_tokens(corpus, path).count() == corpus.count()
-    assert count_tokens(no_docs, path).count() == 0
-    assert count_tokens(corpus, path).where(F.col("text").isNull() & (F.col("n_tokens") != 0)).count() == 0
+    learned = estimate_pieces(corpus, pieces)
+    assert abs(sum(math.exp(p) for p in learned.values()) - 1) < 1e-9 and learned != pieces
+    for got, used in ((count_tokens(corpus, path), learned), (count_tokens(corpus, path, estimate=False), pieces)):
+        rows = got.collect()
+        assert len(rows) == corpus.count()
+        for r in rows:
+            if len(r.text or "") < 3000:
+                own = [SPACE + w for w in (r.text or "").split()]
+                assert (r.n_pretokens, r.n_tokens) == (len(own), sum(brute_count(w, used) for w in own))
+    assert count_tokens(no_docs, path).count() == 0 and estimate_pieces(no_docs, pieces) == pieces
+
+
+def test_pieces_are_counted_over_all_documents(spark):
+    docs = spark.createDataFrame([("ab ab", 1), ("abc", 2), (None, 3), ("", 4), ("zab", 5)] * 3, "text string, k int").repartition(3)
+    pieces = {SPACE: -3.0, SPACE + "ab": -1.0, "c": -2.0, "b": -4.0, "a": -4.0, "ab": -2.5}
+    learned = estimate_pieces(docs, pieces)
+    n = {SPACE: 1 + 3, SPACE + "ab": 1 + 9, "c": 1 + 3, "b": 1, "a": 1, "ab": 1 + 3}
+    assert all(abs(learned[p] - math.log(n[p] / sum(n.values()))) < 1e-12 for p in pieces)
+    assert PieceTrie(pieces).solve([SPACE + "z" * 50_000])[SPACE + "z" * 50_000] == 50_001
