@@ -48,59 +48,48 @@ class PieceTrie:
     def solve(self, words: list[str], used: np.ndarray | None = None, times: list[int] | None = None) -> dict[str, int]:
         """Tokens of each distinct word in its likeliest segmentation (of equally likely ones, that with fewer tokens).
 
-        The words are inserted in a trie, whose nodes get their forward score once, from the scores of the nodes on the path to them and
-        the pieces that end there (a walk back along the reversed pieces, as far as any goes on); the count at a
-        word's last node is its result. A character in no piece costs its UTF-8 bytes. ``used`` adds up how often each piece is used,
+        The words make up a trie, laid out in preorder: in sorted order each word adds, behind the path it shares with the word before, one
+        node for each further character and its terminal. A node gets its forward score once, from the scores of the nodes on
+        the path to it and the pieces that end there (a walk back along the reversed pieces, as far as any goes on); the count at a
+        terminal is the word's result. A character in no piece costs its UTF-8 bytes. ``used`` adds up how often each piece is used,
         ``times`` being the occurrences of the words.
         """
-        trie: dict = {}
-        for i, word in enumerate(words):
-            node = trie
-            for c in word:
-                node = node.setdefault(c, {})
-            node[""] = i  # a terminal
-        counts = dict.fromkeys(words, 0)
-        path: list[str] = []
-        best: list[tuple[float, int]] = [(0.0, 0)]  # (score, minus the number of tokens) by depth
-        taken: list[tuple[int, int]] = [(0, -1)]  # (where the last token begins, its piece) by depth
-        root, floor = self.root, self.floor
-        stack = [iter(trie.items())]
-        while stack:
-            item = next(stack[-1], None)
-            if item is None:
-                stack.pop()
-                if path:
-                    path.pop(), best.pop(), taken.pop()
-                continue
-            c, child = item
-            if c == "":
-                counts[words[child]] = -best[-1][1]
-                if used is not None:
-                    at, n = len(path), times[child] if times else 1
-                    while at:
-                        at, piece = taken[at]
-                        if piece >= 0:
-                            used[piece] += n
-                continue
-            path.append(c)
-            at = len(path)
-            n = len(c.encode("utf-8", "surrogatepass"))
-            score, minus = best[at - 1]
-            top, how = (score + n * floor, minus - n), (at - 1, -1)
-            node, j = root, at
-            while j:
-                node = node[0].get(path[j - 1])
-                if node is None:
-                    break
-                j -= 1
-                if node[1] is not None:
-                    score, minus = best[j]
-                    new = (score + node[1], minus - 1)
-                    if new > top:
-                        top, how = new, (j, node[2])
-            best.append(top)
-            taken.append(how)
-            stack.append(iter(child.items()))
+        counts: dict[str, int] = {}
+        best: list[tuple[float, int]] = [(0.0, 0)]  # of the nodes on the path: score, minus the number of tokens
+        taken: list[tuple[int, int]] = [(0, -1)]  # and where the last token begins, and its piece
+        root, floor, before = self.root, self.floor, ""
+        for i in sorted(range(len(words)), key=words.__getitem__):
+            word = words[i]
+            shared, most = 0, min(len(word), len(before))
+            while shared < most and word[shared] == before[shared]:
+                shared += 1
+            del best[shared + 1 :], taken[shared + 1 :]
+            for depth in range(shared + 1, len(word) + 1):
+                c = word[depth - 1]
+                n = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
+                score, minus = best[-1]
+                top, fewest, begin, piece = score + n * floor, minus - n, depth - 1, -1
+                node, j = root, depth
+                while j:
+                    j -= 1
+                    node = node[0].get(word[j])
+                    if node is None:
+                        break
+                    p = node[1]
+                    if p is not None:
+                        score, minus = best[j]
+                        p += score
+                        if p > top or (p == top and minus - 1 > fewest):
+                            top, fewest, begin, piece = p, minus - 1, j, node[2]
+                best.append((top, fewest))
+                taken.append((begin, piece))
+            counts[word], before = -best[-1][1], word
+            if used is not None:
+                at, n = len(word), times[i] if times else 1
+                while at:
+                    at, piece = taken[at]
+                    if piece >= 0:
+                        used[piece] += n
         return counts
 
 
