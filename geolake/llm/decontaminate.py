@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from geolake.llm._common import hold, utf8
 from geolake.llm.bpe import small_batches
 
-#: Bytes of item text in one automaton (some hundred megabytes in a worker); more items take more passes.
-BLOCK = 1_000_000
+#: Bytes of item text in one automaton (some hundred megabytes in a worker), and of documents that several automata see in turn.
+BLOCK, GATHER = 1_000_000, 64_000_000
 #: Every byte outside the word pattern becomes a space, A-Z become lower case.
 WORD_BYTES = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 32 for c in bytes(range(256)).lower())
 _WORD = re.compile(rb"[^\x20]+")
@@ -180,51 +180,59 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, text_col: st
 
     A hit word lies in an occurrence of ``window`` consecutive words of an item, or of a whole shorter item. With
     ``cleaned_col``, that column has the text without the hit spans, or null where hit words are more than ``max_coverage`` of all.
-    Items are read in blocks of about 1 MB of text; each block's automaton is built in the workers from a broadcast of that
-    size, and its pass adds to the columns of the pass before; no pass shuffles. Null texts and null items have no words; items
+    Items are read in blocks of about 1 MB of text, each a broadcast. One narrow step, with one Python worker a task, streams the documents
+    against the automaton of the block; with several blocks it gathers about GATHER bytes of documents and takes the automata in turn,
+    one at a time, so that memory holds one of them whatever the number of items. Null texts and null items have no words; items
     with the same id count as one. All columns of ``docs`` are kept (those with the new names are replaced).
     """
     new = ["n_words", "hits", "items", "longest_match"]
     kept = [c for c in docs.columns if c not in (*new, cleaned_col)]
-    hits = T.ArrayType(T.ArrayType(T.LongType()))
-    base = docs.select(
-        *[F.col(f"`{c}`") for c in kept],
-        F.lit(None).cast("long").alias("n_words"), F.lit(None).cast(hits).alias("hits"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("long").alias("longest_match"),
-        *([F.lit(None).cast("string").alias(cleaned_col)] if cleaned_col else []),
-        utf8(F.col(text_col)).alias("__text"),
-    )
-
-    def passed(rows: DataFrame, block, last: bool) -> DataFrame:
-        names = [*kept, *new, *([cleaned_col] if cleaned_col else []), "__text"]
-
-        def run(batches):
-            automaton = _automaton(block.value, window)
-            for b in small_batches(batches):
-                cols = dict(zip(names, b.columns))
-                texts = cols["__text"].to_pylist()
-                words = [words_of(t) for t in texts]
-                found = automaton.match(words)
-                before = zip(cols["hits"].to_pylist(), cols["items"].to_pylist(), cols["longest_match"].to_pylist())
-                rows = [(_joined([*(h or []), *map(list, spans)]), sorted({*(i or ()), *names_}), max(m or 0, best)) for (h, i, m), (spans, names_, best) in zip(before, found)]
-                cols["n_words"] = pa.array([len(w) for w in words], pa.int64())
-                cols["hits"] = pa.array([r[0] for r in rows], pa.list_(pa.list_(pa.int64())))
-                cols["items"] = pa.array([r[1] for r in rows], pa.list_(pa.string()))
-                cols["longest_match"] = pa.array([r[2] for r in rows], pa.int64())
-                if cleaned_col and last:
-                    over = [sum(y - x for x, y in r[0]) > max_coverage * len(w) for r, w in zip(rows, words)]
-                    cols[cleaned_col] = pa.array([None if o else cut_spans(t, r[0]).decode("utf-8", "ignore") for o, t, r in zip(over, texts, rows)], pa.string())
-                yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
-
-        return rows.mapInArrow(run, rows.schema)
-
+    spark = docs.sparkSession
     blocks, block, size = [], [], 0
     for r in items.select(F.col(item_id).cast("string").alias("i"), utf8(F.col(item_text)).alias("t")).where("i is not null").toLocalIterator():
         block.append((r.i, bytes(r.t)))
         size += len(r.t)
         if size > BLOCK:
-            blocks.append(docs.sparkSession.sparkContext.broadcast(tuple(block)))
+            blocks.append(spark.sparkContext.broadcast(tuple(block)))
             block, size = [], 0
-    blocks.append(docs.sparkSession.sparkContext.broadcast(tuple(block)))
-    for i, b in enumerate(blocks):
-        base = passed(base, b, i == len(blocks) - 1)
-    return base.drop("__text")
+    if block or not blocks:
+        blocks.append(spark.sparkContext.broadcast(tuple(block)))
+    names = [*kept, *new, *([cleaned_col] if cleaned_col else [])]
+
+    def gathered(batches):
+        if len(blocks) == 1:
+            yield from ([b] for b in batches)
+            return
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size >= GATHER:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
+    def run(batches):
+        for group in gathered(small_batches(batches)):
+            texts = [b.column(b.num_columns - 1).to_pylist() for b in group]
+            words = [[words_of(t) for t in own] for own in texts] if len(blocks) == 1 else None
+            rows = [[([], set(), 0)] * len(own) for own in texts]
+            for block in blocks:
+                automaton = _automaton(block.value, window)
+                for k, own in enumerate(texts):
+                    found = automaton.match(words[k] if words else [words_of(t) for t in own])
+                    rows[k] = [([*h, *spans], items_ | names_, max(most, best)) for (h, items_, most), (spans, names_, best) in zip(rows[k], found)]
+            for k, b in enumerate(group):
+                counts = [len(w) for w in (words[k] if words else map(words_of, texts[k]))]
+                hits = [_joined([list(x) for x in r[0]]) for r in rows[k]]
+                cols = [*b.columns[:-1], pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(r[1]) for r in rows[k]], pa.list_(pa.string())), pa.array([r[2] for r in rows[k]], pa.int64())]
+                if cleaned_col:
+                    over = [sum(y - x for x, y in h) > max_coverage * n for h, n in zip(hits, counts)]
+                    cols.append(pa.array([None if o else cut_spans(t, h).decode("utf-8", "ignore") for o, t, h in zip(over, texts[k], hits)], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    own = [F.col(f"`{c}`") for c in kept]
+    added = [F.lit(0).cast("long").alias("n_words"), F.array(F.array(F.lit(0).cast("long"))).alias("hits"), F.array(F.lit("")).alias("items"), F.lit(0).cast("long").alias("longest_match"), *([F.lit("").alias(cleaned_col)] if cleaned_col else [])]
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.select(*own, *added).schema])
+    return docs.select(*own, utf8(F.col(text_col)).alias("__text")).mapInArrow(run, schema)
