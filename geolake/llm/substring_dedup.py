@@ -27,9 +27,9 @@ LENGTH, K = 50, 20
 REACH = LENGTH - K
 #: Bytes of text in a chunk, about: the unit that is parsed in one piece, and the most of a dictionary range.
 CHUNK = 4_000_000
-#: Chunks whose dictionaries make up one range of the dictionary, and the most ranges (so many rows a chunk sends at most; beyond 1 TB
-#: of text the ranges grow instead).
-CHUNKS, MOST_BUCKETS = 4, 65_536
+#: Chunks whose dictionaries make up one range of the dictionary. The number of ranges follows the text, so that ranges keep their size;
+#: a chunk sends one row for each range that it has phrases in, and so at most one for each of its phrases.
+CHUNKS = 4
 #: Bytes of text in a partition, about.
 PARTITION = 64_000_000
 SEGMENT = 1 << 16
@@ -110,6 +110,12 @@ def _unpack(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _runs(x: np.ndarray):
+    """Each value of a sorted array, and where it is."""
+    edge = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else x
+    yield from zip(x[edge].tolist(), map(slice, edge.tolist(), [*edge[1:].tolist(), len(x)]))
+
+
 class _Chunk:
     """A chunk's documents in a fixed order, its parse and its part of the dictionary, sorted by bucket."""
 
@@ -139,7 +145,6 @@ class _Chunk:
         self.first, self.bucket = first[rank], bucket[rank]
         last = by[np.r_[np.flatnonzero(new)[1:], len(by)] - 1][rank] if len(by) else by
         self.least, self.several = self.ids[p.doc[self.first]], self.ids[p.doc[last]] != self.ids[p.doc[self.first]]
-        self.start = np.searchsorted(self.bucket, np.arange(buckets + 1))
 
 
 _SAID = "key long, chunk long, a binary, b binary, c binary, d binary"
@@ -153,11 +158,9 @@ def _rows(rows: list[tuple]) -> pa.Table:
 
 def _dictionary(chunk: _Chunk, number: int, buckets: int) -> pa.Table:
     p, rows = chunk.parse, []
-    for b in range(buckets):
-        s = slice(chunk.start[b], chunk.start[b + 1])
-        if s.start < s.stop:
-            f = chunk.first[s]
-            rows.append((b, number, _pack(p.trigger[f] // np.uint64(buckets), 6), _pack(p.phrase[f], 8), _pack(chunk.least[s].view(np.uint64), 8), np.packbits(chunk.several[s]).tobytes()))
+    for b, s in _runs(chunk.bucket):
+        f = chunk.first[s]
+        rows.append((b, number, _pack(p.trigger[f] // np.uint64(buckets), 6), _pack(p.phrase[f], 8), _pack(chunk.least[s].view(np.uint64), 8), np.packbits(chunk.several[s]).tobytes()))
     return _rows(rows)
 
 
@@ -209,8 +212,9 @@ def _resolve(chunk: _Chunk, number: int, said: pa.Table, buckets: int) -> pa.Tab
     """Spans that are known to go, kept with the chunk, and the first occurrences of phrases that are to be compared."""
     p = chunk.parse
     least, compare = np.full(len(chunk.first), _NONE), np.zeros(len(chunk.first), bool)
-    for b, index, docs, flags in zip(*(said.column(c).to_pylist() for c in ("key", "a", "b", "c"))):
-        i = chunk.start[b] + _unpack(index, 4).astype(np.int64)
+    keys = said.column("key").to_numpy()
+    for start, index, docs, flags in zip(np.searchsorted(chunk.bucket, keys).tolist(), *(said.column(c).to_pylist() for c in ("a", "b", "c"))):
+        i = start + _unpack(index, 4).astype(np.int64)
         least[i] = _unpack(docs, 8).view(np.int64)
         compare[i] = np.unpackbits(np.frombuffer(flags, np.uint8), count=len(i)).astype(bool)
     own = chunk.ids[p.doc]
@@ -222,11 +226,11 @@ def _resolve(chunk: _Chunk, number: int, said: pa.Table, buckets: int) -> pa.Tab
     ask = ask[np.argsort(bucket, kind="stable")]
     bucket.sort()
     raw = chunk.data.tobytes()
-    for b in np.unique(bucket):
-        i = ask[np.searchsorted(bucket, b) : np.searchsorted(bucket, b, side="right")]
+    for b, s in _runs(bucket):
+        i = ask[s]
         text = b"".join([raw[x:y] for x, y in zip(p.lo[i].tolist(), p.hi[i].tolist())])
         place = np.stack([p.at[i], p.at[i] - p.lo[i], p.hi[i] - p.at[i]]).astype("<i8").tobytes()
-        rows.append((int(b), number, _pack(p.trigger[i], 8), _pack(own[i].view(np.uint64), 8), place, text))
+        rows.append((b, number, _pack(p.trigger[i], 8), _pack(own[i].view(np.uint64), 8), place, text))
     return _rows(rows)
 
 
@@ -340,7 +344,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     chunks = max(8, -(-total // CHUNK))
-    buckets = min(max(8, chunks // CHUNKS), MOST_BUCKETS)
+    buckets = max(8, chunks // CHUNKS)
     rest = cleaned_col or "kept"
     kept = [c for c in docs.columns if c not in (text_col, rest, "spans")]
     parts = max(shuffle_partitions(docs.sparkSession), -(-total // PARTITION))

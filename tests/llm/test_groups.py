@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import xxhash
@@ -141,8 +142,9 @@ def test_repeats_against_brute_force(spark, corpus, no_docs, monkeypatch):
     more = [(400, prose(1, 60)), (401, "q" * 49), (402, "q" * 50), (403, "ab" * 60), (404, "ba" * 60), (405, "é" * 30 + "x"), (406, "é" * 30 + "y"), (407, prose(1, 60)[3:])]
     table = corpus.select("doc_id", "text", F.lit(1).alias("spans")).unionByName(spark.createDataFrame(more, "doc_id long, text string").withColumn("spans", F.lit(1)))
     want = brute_repeats([*rows, *((i, t.encode()) for i, t in more)])
-    for chunk in (8_000_000, 9_000):
+    for chunk, ranges in ((8_000_000, 4), (9_000, 4), (9_000, Fraction(1, 30))):  # the last: more ranges than a chunk has phrases
         monkeypatch.setattr("geolake.llm.substring_dedup.CHUNK", chunk)
+        monkeypatch.setattr("geolake.llm.substring_dedup.CHUNKS", ranges)
         got = remove_repeats(table).collect()
         assert sorted((g.doc_id is None, g.doc_id or 0, bytes(g.kept), len(g.spans)) for g in got) == want
     assert remove_repeats(no_docs).count() == 0
