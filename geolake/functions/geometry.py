@@ -166,11 +166,6 @@ def st_length(g) -> Column:
     return F.when(g.isNull(), None).when(kind(g).isin(S.LINE, S.MULTILINE), total).otherwise(0.0)
 
 
-def st_distance(a, b) -> Column:
-    """Planar distance of two points; null for other types."""
-    return F.hypot(st_x(a) - st_x(b), st_y(a) - st_y(b))
-
-
 def st_centroid(g) -> Column:
     """Centroid by the highest dimension present: mean of points, length-weighted segments, area-weighted rings."""
     g = col(g)
@@ -273,6 +268,51 @@ def point_place(g, x: Column, y: Column) -> Column:
     return F.aggregate(runs(g), F.struct(F.lit(-1).alias("best"), F.lit(-1).alias("here")), ring, lambda s: F.greatest(s["best"], s["here"]))
 
 
+def _segments(g) -> Column:
+    """All edges of lines and rings as (x1, y1, x2, y2); single points as edges of no length."""
+    g = col(g)
+    edge = lambda i, j: F.struct(F.get(g["x"], i).alias("x1"), F.get(g["y"], i).alias("y1"), F.get(g["x"], j).alias("x2"), F.get(g["y"], j).alias("y2"))
+    several = F.filter(runs(g), lambda r: r["end"] > r["first"])
+    edges = F.flatten(F.transform(several, lambda r: F.when(r["end"] - r["first"] == 1, F.array(edge(r["first"], r["first"]))).otherwise(F.transform(_steps(r), lambda i: edge(i, i + 1)))))
+    dots = F.transform(g["x"], lambda x, i: edge(i, i))
+    return F.when(kind(g).isin(S.POINT, S.MULTIPOINT), dots).otherwise(edges)
+
+
+def _edge_distance(s: Column, t: Column) -> Column:
+    """Distance of two edges: 0 where they cross, else the least of the four from an end to the other edge."""
+
+    def to_edge(x, y, e):
+        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        size = dx * dx + dy * dy
+        at = F.when(size > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((x - e["x1"]) * dx + (y - e["y1"]) * dy) / size))).otherwise(0.0)
+        return F.hypot(x - e["x1"] - at * dx, y - e["y1"] - at * dy)
+
+    def side(e, x, y):
+        return F.signum((e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"]))
+
+    crossed = (side(s, t["x1"], t["y1"]) * side(s, t["x2"], t["y2"]) < 0) & (side(t, s["x1"], s["y1"]) * side(t, s["x2"], s["y2"]) < 0)
+    return F.when(crossed, 0.0).otherwise(F.least(to_edge(s["x1"], s["y1"], t), to_edge(s["x2"], s["y2"], t), to_edge(t["x1"], t["y1"], s), to_edge(t["x2"], t["y2"], s)))
+
+
+def _starts_inside(a, b) -> Column:
+    """Whether a part of ``b`` (each point, or the first point of each run) lies in the polygon(s) ``a`` or on their edge."""
+    a, b = col(a), col(b)
+    alone = kind(b).isin(S.POINT, S.MULTIPOINT)
+    first = F.when(alone, F.when(F.size(b["x"]) > 0, F.sequence(F.lit(0), F.size(b["x"]) - 1)).otherwise(F.array().cast("array<int>"))).otherwise(F.transform(runs(b), lambda r: r["first"]))
+    return F.when(kind(a).isin(S.POLYGON, S.MULTIPOLYGON), F.exists(first, lambda i: point_place(a, F.get(b["x"], i), F.get(b["y"], i)) >= 0)).otherwise(False)
+
+
+def st_distance(a, b) -> Column:
+    """Planar distance of two geometries: 0 where they touch or one lies in the other; null if either is null or empty."""
+    a, b = col(a), col(b)
+    points = F.hypot(st_x(a) - st_x(b), st_y(a) - st_y(b))
+    none = F.lit(None).cast("double")
+    apart = F.aggregate(_segments(a), none, lambda m, s: F.least(m, F.aggregate(_segments(b), none, lambda n, t: F.least(n, _edge_distance(s, t)))))
+    within = _starts_inside(a, b) | _starts_inside(b, a)
+    empty = (F.size(a["x"]) == 0) | (F.size(b["x"]) == 0)
+    return F.when((kind(a) == S.POINT) & (kind(b) == S.POINT), points).when(a.isNull() | b.isNull() | empty, None).when(F.coalesce(within, F.lit(False)), 0.0).otherwise(apart)
+
+
 def st_contains(a, b, points: bool = False) -> Column:
     """Whether polygon(s) ``a`` contain ``b``: nothing of b outside, some of it inside; null if ``a`` is of another type.
 

@@ -24,12 +24,12 @@ from geolake.operators.codecs import CODECS, _arrow, to_layout_column, wkb_bound
 
 _QUOTED = re.compile(r"('(?:[^'\\]|\\.)*')")
 _FRACTION = re.compile(r"(?<![\w.`])(\d+\.\d+(?:E-?\d+)?|\d+E-?\d+)(?![\w.])")
-_OPERATOR = re.compile(r"(?<![\w`])(<=>|<=|>=|<|>|=|\+|-|\*|/|%|\||&|\^|!|and|or|in|not)\(")
+_OPERATOR = re.compile(r"(?<![\w`])(<=>|<=|>=|<|>|=|\+|-|\*|/|%|\||&|\^|!|and|or|in|not|exists)\(")
 _ALIAS = re.compile(r" AS ([a-z_]\w*)(?=[,)])")
 
 
 def sql_text(c: Column) -> str:
-    """A Column as SQL. Operators become calls by their quoted names, fractions doubles, aliases quoted."""
+    """A Column as SQL. Operators and keywords become calls by their quoted names, fractions doubles, aliases quoted."""
     parts = _QUOTED.split(c._jc.node().sql())
     for i in range(0, len(parts), 2):
         parts[i] = _ALIAS.sub(r" AS `\1`", _OPERATOR.sub(r"`\1`(", _FRACTION.sub(r"\1D", parts[i])))

@@ -163,3 +163,24 @@ def test_point_in_polygon_equals_the_plain_predicate(spark):
     for row in df.select("a", "b", G.st_contains("g", "p").alias("c"), G.st_contains("g", "p", points=True).alias("d")).collect():
         want = shapes.contains(shapes.from_wkt(row.a), shapes.from_wkt(row.b)) if row.a and row.b else None
         assert row.c == row.d == want, row
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "want"),
+    [
+        ("POINT(0 0)", "POINT(3 4)", 5),
+        ("POINT(0 0)", "LINESTRING(1 -1,1 1)", 1),
+        ("POINT(5 5)", "POLYGON((0 0,10 0,10 10,0 10,0 0),(4 4,4 6,6 6,6 4,4 4))", 1),
+        ("POINT(1 1)", "POLYGON((0 0,10 0,10 10,0 10,0 0))", 0),
+        ("POLYGON((0 0,1 0,1 1,0 1,0 0))", "POLYGON((4 5,5 5,5 6,4 6,4 5))", 5),
+        ("LINESTRING(0 0,2 2)", "LINESTRING(0 2,2 0)", 0),
+        ("LINESTRING(0 0,2 0)", "LINESTRING(0 1,2 1)", 1),
+        ("MULTIPOINT((0 0),(9 9))", "MULTIPOLYGON(((8 8,10 8,10 10,8 10,8 8)))", 0),
+        ("MULTILINESTRING((0 0,1 0),(5 5,6 5))", "POINT(6 7)", 2),
+        ("LINESTRING EMPTY", "POINT(1 1)", None),
+    ],
+)
+def test_distance(spark, a, b, want):
+    register_functions(spark, "fsp")
+    text = "SELECT ST_Distance(ST_GeomFromWKT({}), ST_GeomFromWKT({})) AS d"
+    assert [spark.sql(text.format(repr(x), repr(y))).first().d for x, y in ((a, b), (b, a))] == [want, want]

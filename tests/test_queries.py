@@ -6,9 +6,10 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
-from geolake.plans.queries import ORACLE_SQL, QUERIES
+from geolake.plans import lifecycle, queries
 
 DATA = "/root/testdata/sf0.001"
+QUERIES, ORACLE_SQL = queries.QUERIES | lifecycle.QUERIES, queries.ORACLE_SQL | lifecycle.ORACLE_SQL
 
 
 def plain(frame):
