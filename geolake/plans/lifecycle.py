@@ -197,10 +197,10 @@ def facade_tables(spark, sf_dir):
     for layout in CODECS:
         lake = GeoLake(spark, input_format="wkt", geometry_format=layout)
         name = f"facade_{layout}_{uuid.uuid4().hex}"
-        lake.write_with_index("geolake_queries", name, r.where("id % 2 = 0"), 10_000_000, 100)
+        lake.write_with_index("geolake_queries", name, r.where("id % 2 = 0"), 10_000_000, P.TREE_ROWS)
         lake.write("geolake_queries", name, r.where("id % 2 = 1"))
-        lake.add_index_to_new_rows("geolake_queries", name, 10_000_000, 100)
-        lake.rebuild_index("geolake_queries", name, 10_000_000, 100)
+        lake.add_index_to_new_rows("geolake_queries", name, 10_000_000, P.TREE_ROWS)
+        lake.rebuild_index("geolake_queries", name, 10_000_000, P.TREE_ROWS)
         t = lake.table("geolake_queries", name)
         b = lake.codec.bbox(F.col("geometry"))
         near = t.window(*P.BOX).select("id", b.alias("b")).where(f"b.min_x >= {P.BOX[0]} AND b.max_x <= {P.BOX[2]} AND b.min_y >= {P.BOX[1]} AND b.max_y <= {P.BOX[3]}")

@@ -16,6 +16,7 @@ from geolake.operators import joins
 from geolake.operators import quadtree as Q
 from geolake.operators.codecs import CODECS
 from geolake.plans.table import GeoTable, TableSpec
+from geolake.shipping import ship_package
 from geolake.sources.convert import cells_geojson
 
 WORLD = """select l_orderkey as k, l_linenumber as n,
@@ -37,6 +38,7 @@ TREE_ROWS = 2_000
 
 
 def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    ship_package(spark)
     table = text.rsplit(" ", 1)[1]
     return spark.sql(text.rsplit(" ", 1)[0] + " {t}", t=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from geolake.shipping import ship_package
+
 #: Settings that matter for spatial tables on any cluster: adaptive plans split large cells and merge small ones.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -19,7 +21,9 @@ def make_session(master: str | None = None, app: str = "geolake", **conf) -> Spa
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    return b.config(map=DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
+    spark = b.config(map=DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def make_local_session(cores: int = 4, driver_memory: str = "4g", **conf) -> SparkSession:

@@ -21,6 +21,7 @@ from geolake.functions import geometry as G
 from geolake.functions import shapes, wkb
 from geolake.operators import quadtree as Q
 from geolake.operators.codecs import CODECS, _arrow, to_layout_column, wkb_bounds
+from geolake.shipping import ship_package
 
 _QUOTED = re.compile(r"('(?:[^'\\]|\\.)*')")
 _FRACTION = re.compile(r"(?<![\w.`])(\d+\.\d+(?:E-?\d+)?|\d+E-?\d+)(?![\w.])")
@@ -90,6 +91,7 @@ def register_functions(spark: SparkSession, layout: str = "fsp", tree: Q.Quadtre
     stored struct. findBucket uses ``tree``, by default the initial one of four levels; its result has nulls where there are no bounds. What
     cannot be read gives null. Spark plans no Python function over nested lambda functions: store a computed geometry before ST_AsWKB.
     """
+    ship_package(spark)
     session, codec, own = spark._jsparkSession.sessionUUID(), CODECS[layout], S.LAYOUTS[layout].simpleString()
     done = _done.get(session)
     if done and tree is None and done[0] == layout:

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from geolake import schemas as S
 from geolake.operators import quadtree as Q
 from geolake.operators.codecs import CODECS
+from geolake.shipping import ship_package
 
 CODE = "region_code"
 #: Schemes whose rename is no single step.
@@ -48,6 +49,7 @@ class GeoTable:
     """One table. ``geometry`` holds the encoded geometry; the partition column is the code of its cell, null if not indexed."""
 
     def __init__(self, spark: SparkSession, spec: TableSpec, layout: str = "fsp"):
+        ship_package(spark)
         self.spark, self.spec = spark, spec
         self.path = spec.path
         self._read: dict[int, dict] = {}

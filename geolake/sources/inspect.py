@@ -7,6 +7,8 @@ import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+from geolake.shipping import ship_package
+
 _STATS = pa.schema([("file", pa.string()), ("row_group", pa.int32()), ("column", pa.string()), ("rows", pa.int64()), ("min", pa.string()), ("max", pa.string()), ("nulls", pa.int64())])
 
 
@@ -36,5 +38,6 @@ def parquet_stats(spark: SparkSession, uris: list[str]) -> DataFrame:
                         rows.append((uri, g, column.path_in_schema, meta.row_group(g).num_rows, *bounds, s.null_count if s is not None and s.has_null_count else None))
             yield pa.RecordBatch.from_pylist([dict(zip(_STATS.names, r)) for r in rows], schema=_STATS)
 
+    ship_package(spark)
     files = spark.createDataFrame([(u,) for u in uris], "file string").repartition(max(1, min(len(uris), 10_000)))
     return files.mapInArrow(run, "file string, row_group int, column string, rows long, min string, max string, nulls long")

@@ -12,6 +12,7 @@ from geolake import schemas as S
 from geolake.functions import geometry as G
 from geolake.functions import shapes
 from geolake.operators.codecs import _arrow, _from_flat_nfsp
+from geolake.shipping import ship_package
 
 #: Lines that decide the types of GeoJSON properties.
 SAMPLE_LINES = 100
@@ -90,6 +91,7 @@ def read_geojson(spark: SparkSession, path, nested: bool = False, properties: di
     becomes text where a string is expected. Lines that are no feature or have no readable geometry are left out; ``observation``
     counts them as ``bad_rows``.
     """
+    ship_package(spark)
     lines = spark.read.text(path)
     if properties is None:
         properties = infer_properties([r.value for r in lines.limit(SAMPLE_LINES).collect()])

@@ -1,4 +1,8 @@
 import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Observation
@@ -141,3 +145,18 @@ def test_streams(spark, tmp_path):
     q = windowed_cell_counts(stream, "t", "x", "y").writeStream.format("memory").queryName("cells").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("cells").agg(F.sum("count")).first()[0] == 300
+
+
+def test_executors_need_no_installation(tmp_path):
+    """Python functions run where the package is not on the path."""
+    script = tmp_path / "run.py"
+    script.write_text(
+        f"import sys; sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})\n"
+        "from geolake.functions import geometry as G\n"
+        "from geolake.plans.session import make_local_session\n"
+        "spark = make_local_session(cores=1, driver_memory='1g')\n"
+        "print('bytes', spark.range(1).select(G.st_point('id', 'id').alias('g')).select(G.st_as_wkb('g').alias('w')).first().w.hex())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "bytes 0101000000" in out.stdout, out.stderr[-2000:]
