@@ -213,14 +213,20 @@ def spatial_join_points_cells(spark, sf_dir):
     return p.join(F.broadcast(c), inside).groupBy("cid").agg(F.count("*").alias("cnt"))
 
 
+def _places(spark, sf_dir):
+    """Each distinct point of the city once, with the number of its rows and the sum of their keys."""
+    p = view(spark, sf_dir, CITY).groupBy("lon", "lat").agg(F.count("*").alias("cnt"), F.sum("k").alias("keys"))
+    return p.select("cnt", "keys", G.st_point("lon", "lat").alias("geometry"))
+
+
 def spatial_join_within(spark, sf_dir):
     """All points within all rectangles, dealt by grid cell."""
     return joins.spatial_join(_points(spark, sf_dir, CITY), _rects(spark, sf_dir), "geometry", "geometry", "within").groupBy("id").agg(F.count("*").alias("cnt"))
 
 
 def _in_rects(spark, sf_dir, how):
-    p = joins.spatial_join(_points(spark, sf_dir, CITY), _rects(spark, sf_dir), "geometry", "geometry", "within", how)
-    return p.agg(F.count("*").alias("cnt"), F.sum("k").alias("keys"))
+    p = joins.spatial_join(_places(spark, sf_dir), _rects(spark, sf_dir), "geometry", "geometry", "within", how)
+    return p.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("cnt"), F.sum("keys").alias("keys"))
 
 
 def spatial_semi_join(spark, sf_dir):
