@@ -220,8 +220,8 @@ def _places(spark, sf_dir):
 
 
 def spatial_join_within(spark, sf_dir):
-    """All points within all rectangles, dealt by grid cell."""
-    return joins.spatial_join(_points(spark, sf_dir, CITY), _rects(spark, sf_dir), "geometry", "geometry", "within").groupBy("id").agg(F.count("*").alias("cnt"))
+    """All points within all rectangles, dealt by grid cell; rows at one place are joined once and counted."""
+    return joins.spatial_join(_places(spark, sf_dir), _rects(spark, sf_dir), "geometry", "geometry", "within").groupBy("id").agg(F.sum("cnt").alias("cnt"))
 
 
 def _in_rects(spark, sf_dir, how):

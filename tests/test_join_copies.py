@@ -50,6 +50,11 @@ def test_anti_join(spark, city, around, joined):
     assert joined == [(3, 1)]
 
 
+def test_within(spark, city, around, joined):
+    assert sorted(tuple(r) for r in P.spatial_join_within(spark, city).collect()) == [(0, 200), (1, 200)]
+    assert joined == [(3, 2)]
+
+
 @pytest.mark.parametrize("how, n", [("left_semi", 100), ("left_anti", 201)])
 def test_operator(spark, joined, how, n):
     at = G.F.when(G.F.col("id") < 300, G.st_point(G.F.when(G.F.col("id") < 100, -0.0).otherwise(5.0), G.F.lit(1.0)))
