@@ -50,6 +50,11 @@ def test_anti_join(spark, city, around, joined):
     assert joined == [(3, 1)]
 
 
+def test_semi_join(spark, city, around, joined):
+    assert [tuple(r) for r in P.spatial_semi_join(spark, city).collect()] == [(200, keys(0))]
+    assert joined == [(3, 1)]
+
+
 def test_within(spark, city, around, joined):
     assert sorted(tuple(r) for r in P.spatial_join_within(spark, city).collect()) == [(0, 200), (1, 200)]
     assert joined == [(3, 2)]
