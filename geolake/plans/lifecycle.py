@@ -124,7 +124,7 @@ def sampled_tree(spark, sf_dir):
     """A tree grown from a sample of a tenth of the rows has a cell for every row."""
     t = _table(spark, "sampled")
     p = P._points(spark, sf_dir, P.CITY)
-    t.append_indexed(p, driver_rows=max(1, p.count() // 10), max_rows=P.TREE_ROWS)
+    t.append_indexed(p, driver_rows=max(1, p.count() // 10), max_rows=P.TREE_ROWS, mode="sampled")
     return t.df().agg(F.count("*").alias("cnt"), F.count("region_code").alias("coded"))
 
 
