@@ -34,9 +34,8 @@ EVIDENCE = 3.84
 #: Words seen less often are no evidence; expressions are pairs of words seen as often side by side in toxic texts, and more often than
 #: two words of their frequencies would be by chance (G squared, the 0.1 % point).
 WORD_COUNT, PAIR_COUNT, COLLOCATION = 2, 3, 10.83
-#: Chance collocations and copies abound as text grows: an expression also has to be seen sqrt(toxic words) / PAIR_SCALE times, so that the
-#: expressions gathered grow about as the square root of the labelled text.
-PAIR_SCALE = 100.0
+#: An expression would have to be seen sqrt(toxic words) / PAIR_SCALE times: none, whatever the amount of text.
+PAIR_SCALE = math.inf
 #: Words whose log-likelihood ratios decide a document beside its average.
 TOP = 3
 #: Of crc32(id as text) mod 4: never seen; used to calibrate scores (and counted after that).
@@ -292,31 +291,34 @@ def train(labelled: DataFrame) -> tuple[object, np.ndarray]:
     sums = words.select("word").mapInArrow(_gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow().sort_by("gram")
     bytes_model = ByteModel(sums.column("gram").to_numpy(), sums.column("n").to_numpy())
 
-    often = use.where("toxic = 1").mapInArrow(_toxic_pairs, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= max(PAIR_COUNT, math.sqrt(totals[1][1]) / PAIR_SCALE))
+    often = use.where("toxic = 1").mapInArrow(_toxic_pairs, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= PAIR_COUNT)
     heard = words.select(F.xxhash64("word").alias("h"), (F.col("toxic") + F.col("toxic_c")).cast("double").alias("c")).where(F.col("c") >= PAIR_COUNT)
     often = often.join(heard.toDF("a", "ca"), "a").join(heard.toDF("b", "cb"), "b")
     chance = F.col("ca") * F.col("cb") / max(totals[1][1], 1.0)
     bound = (F.col("n") > chance) & (2 * (F.col("n") * F.log(F.col("n") / chance) - F.col("n") + chance) >= COLLOCATION)
     joined = often.where(bound).select("a", "b").toArrow()
-    candidates = spark.sparkContext.broadcast(np.sort(pair_keys(joined.column("a").to_numpy(), joined.column("b").to_numpy())))
+    heads, tails = joined.column("a").to_numpy(), joined.column("b").to_numpy()
+    keys = pair_keys(heads, tails)
+    order = np.argsort(keys)
+    heads, tails = heads[order], tails[order]
+    candidates = spark.sparkContext.broadcast(keys[order])
 
     def pair_counts(batches):
+        """Counts by the candidate's place, one row for each that a task has seen."""
         wanted = candidates.value
+        counts = np.zeros((4, len(wanted)), np.int64)
         for b in small_batches(batches):
-            found = []
-            for k, (w, keys) in zip(_kind(b).tolist(), _pairs(*_numbered(b.column(2).to_pylist()))):
-                i = np.flatnonzero(_find(wanted, keys) < len(wanted))
-                if len(i):
-                    found.append((w[i], w[i + 1], np.full(len(i), k)))
-            if found:
-                a, c, k = (np.concatenate(x) for x in zip(*found))
-                both, of = np.unique(np.column_stack([a, c]), axis=0, return_inverse=True)
-                counts = np.zeros((4, len(both)), np.int64)
-                np.add.at(counts, (k, of.ravel()), 1)
-                yield _arrays(["a", "b", *_COUNTS], both[:, 0], both[:, 1], *counts)
-
-    pairs = _sums(use.mapInArrow(pair_counts, f"a long, b long, {counted}"), "a", "b")
-    found = pairs.where(telling(0, first) | telling(1, last)).toArrow().to_pydict()
+            for k, (_, keys) in zip(_kind(b).tolist(), _pairs(*_numbered(b.column(2).to_pylist()))):
+                at = _find(wanted, keys)
+                np.add.at(counts[k], at[at < len(wanted)], 1)
+        at = np.flatnonzero(counts.any(axis=0))
+        for s in range(0, len(at), 100_000):
+            yield _arrays(["at", *_COUNTS], at[s : s + 100_000], *counts[:, at[s : s + 100_000]])
+
+    pairs = _sums(use.mapInArrow(pair_counts, f"at long, {counted}"), "at")
+    found = pairs.where(telling(0, first) | telling(1, last)).toArrow()
+    at = found.column("at").to_numpy()
+    found = {"a": heads[at].tolist(), "b": tails[at].tolist(), **{c: found.column(c).to_pylist() for c in _COUNTS}}
     ends = sorted({*found["a"], *found["b"]})
     known: dict[str, list] = {"word": [], **{c: [] for c in _COUNTS}}
     if ends:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from geolake.llm import toxicity as X
@@ -153,3 +154,15 @@ def test_held_out_quality(spark):
     rows = X.score_toxicity(docs.select("doc_id", "text"), labels).where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
     hits = sum(r.predicted and r.toxic for r in rows)
     assert hits >= 0.5 * sum(r.toxic for r in rows) and hits >= 0.7 * sum(r.predicted for r in rows)
+
+
+@pytest.mark.parametrize("words", [50, 1100])
+def test_expressions_do_not_depend_on_the_amount_of_text(spark, words):
+    r = random.Random(7)
+    rows = []
+    for i in range(200):
+        w = [f"w{r.randrange(300)}" for _ in range(words)]
+        rows.append((i % 2, 1, " ".join(w + ["paper", "tiger"] * (i in (1, 3, 5))).encode()))
+    model, _ = X.train(spark.createDataFrame(rows, "toxic int, part int, __text binary").repartition(3))
+    paper, tiger = X.hash_words([b"paper", b"tiger"]).tolist()
+    assert tiger in model.value.behind.get(paper, (0, {}))[1]
