@@ -1,6 +1,7 @@
 """Rows at one place are joined once, whatever their number."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from geolake.functions import geometry as G
 from geolake.operators import joins
@@ -67,3 +68,15 @@ def test_operator(spark, joined, how, n):
     right = spark.range(50).select("id", G.st_polygon_from_envelope(*[G.F.lit(v) for v in (-1.0, 0.0, 2.0, 2.0)]).alias("geometry"))
     assert joins.spatial_join(left, right, "geometry", "geometry", "within", how).count() == n
     assert joined == [(3, 1)]
+
+
+def test_broadcast_counts_all_cells(spark, monkeypatch):
+    """A right side goes to up to four cells of every grid in use; all of these rows would be in the driver."""
+    p = spark.range(300).select("id", G.st_point(F.col("id") % 20, F.col("id") % 13).alias("g"))
+    r = spark.range(50).select(F.col("id").alias("c"), G.st_polygon_from_envelope(F.col("id") % 7 + 0.5, F.lit(0.5), F.col("id") % 7 + 1.5 + F.col("id") % 5 * 3, F.lit(9.5)).alias("g"))
+    monkeypatch.setattr(joins, "SMALL", 50 * (200 + 16 * 5) * 2)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = joins.spatial_join(p, r, "g", "g")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "Broadcast" not in plan
