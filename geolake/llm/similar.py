@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from geolake.llm._common import checkpoint, connected_components, hold, release_memory, utf8
 from geolake.llm.bpe import small_batches
-from geolake.llm.simhash import bk_pairs, similarity_radius
+from geolake.llm.simhash import _bk_trees, bk_pairs, similarity_radius
 
 #: Keys of a set, and minima in each. Two sets of similarity s share no key with (1 - s**MINIMA)**BANDS: 5e-6 at 0.8, at any table size.
 BANDS, MINIMA = 40, 6
@@ -137,15 +137,36 @@ def _by_key(classes: DataFrame, solve, schema: str) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key", "node", "hi", "lo").mapInArrow(run, schema)
 
 
-def _stars(classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of each key's first class with every other one whose size and fingerprint allow the similarity."""
-    radius = proposal_radius(similarity)
+def tree_pairs(key: np.ndarray, n: np.ndarray, fp: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (node, item) met as a BK-tree of the fingerprints is built for each key (in order), its first item the root.
+
+    Each item meets the nodes on its way down; it is paired with the first one whose fingerprint (within :func:`proposal_radius`) and size allow
+    the similarity. The root meets all others, so no pair of it is left out.
+    """
+    if not len(key):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort((*fp.T, key))
+    new = np.r_[True, (key[order][1:] != key[order][:-1]) | (fp[order][1:] != fp[order][:-1]).any(axis=1)]
+    rep = np.empty(len(key), np.int64)  # equal fingerprints of a key are one node, that of the first item: else they would be a chain
+    rep[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+    reps, of, count = np.unique(rep, return_inverse=True, return_counts=True)
+    root = np.maximum.accumulate(np.where(np.r_[True, key[reps][1:] != key[reps][:-1]], np.arange(len(reps)), 0))
+    low, high = map(np.concatenate, zip(*_bk_trees(fp[reps], root, proposal_radius(similarity))[3]))  # level by level
+    members, times = np.argsort(of, kind="stable"), count[low]
+    at = np.repeat((np.cumsum(count) - count)[low] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    twins = np.flatnonzero(rep != np.arange(len(key)))
+    item, node = np.r_[members[at], twins], np.r_[np.repeat(reps[high], times), rep[twins]]
+    some = np.minimum(n[item], n[node]) >= similarity * np.maximum(n[item], n[node]) * (1 - 1e-12)
+    item, first = np.unique(item[some], return_index=True)
+    return node[some][first], item
+
+
+def _tree_pairs(classes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of classes that :func:`tree_pairs` proposes."""
 
     def solve(key, node, hi, lo, comp, n, fp):
-        a = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], np.arange(len(key)), 0))
-        b = np.flatnonzero((a != np.arange(len(key))) & (np.minimum(n[a], n) >= similarity * np.maximum(n[a], n) * (1 - 1e-12)))
-        b = b[np.bitwise_count(fp[a[b]] ^ fp[b]).sum(axis=1, dtype=np.int64) <= radius]
-        yield pa.RecordBatch.from_arrays([pa.array(c[i]) for i in (a[b], b) for c in (hi, lo, node)], names=_PAIR)
+        pairs = tree_pairs(key, n, fp, similarity)
+        yield pa.RecordBatch.from_arrays([pa.array(c[i]) for i in pairs for c in (hi, lo, node)], names=_PAIR)
 
     return _by_key(classes, solve, ", ".join(f"{c} long" for c in _PAIR)).distinct()
 
@@ -272,13 +293,13 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     """``id_col, component_id``: the smallest id reachable over pairs whose sets of ``words``-word shingles have the Jaccard similarity.
 
     Texts with equal sets are one class and never paired; texts without words are such a class. Classes that share a band key, and whose
-    fingerprints lie within :func:`proposal_radius`, are compared whole: first each with the first of its key, then, where the others
-    of a key still are of several components, the pairs that a BK-tree of these finds. Rows with a null id are left out.
+    fingerprints lie within :func:`proposal_radius`, are compared whole: first the pairs met as the BK-tree of a key is built, then, where
+    the classes but the root still are of several components, the pairs that a search in a BK-tree of these finds. Rows with a null id are left out.
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), utf8(F.col(text_col)).alias("text"))
     rows = checkpoint(_classes(texts, words))
     classes = checkpoint(rows.groupBy("hi", "lo").agg(F.min("id").alias("node"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in _FP], F.first("keys").alias("keys")))
-    pairs = checkpoint(_stars(classes.withColumn("comp", F.col("node")), similarity))
+    pairs = checkpoint(_tree_pairs(classes.withColumn("comp", F.col("node")), similarity))
     links = checkpoint(_similar(pairs, texts, words, similarity))
     so_far = classes.join(connected_components(links), "node", "left").withColumn("comp", F.coalesce("label", "node"))
     crowds = checkpoint(_crowds(so_far))

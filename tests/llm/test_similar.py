@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from geolake.llm.similar import band_keys, shingle_set, similar_documents
+from geolake.llm.similar import band_keys, shingle_set, similar_documents, tree_pairs
 from tests.llm.conftest import prose
 
 
@@ -82,3 +82,21 @@ def test_band_keys_of_equal_and_large_sets():
     s = [shingle_set(prose(i, n).encode(), 5) for i, n in ((1, 5), (2, 60_000), (1, 5), (3, 50))]
     k = band_keys(s)
     assert (k[0] == k[2]).all() and len(np.unique(k)) == 3 * k.shape[1]
+
+
+def test_pairs_come_from_the_trees_of_keys():
+    """Items far from a key's first one meet each other in its BK-tree; keys are not mixed, sizes count, the root meets all."""
+    far = 2**40 - 1
+    fp = np.array([0, far, far ^ 1, 3, far, far ^ 1], np.uint64).reshape(-1, 1)
+    key, n = np.array([5, 5, 5, 5, 9, 9]), np.array([10, 10, 10, 10, 10, 7])
+    a, b = tree_pairs(key, n, fp, 0.8)
+    assert set(zip(a.tolist(), b.tolist())) == {(0, 3)}  # edges 40 and 39: two branches
+    fp[2] = far ^ 1 ^ 2**50
+    a, b = tree_pairs(key, n, fp, 0.8)
+    assert set(zip(a.tolist(), b.tolist())) == {(1, 2), (0, 3)}
+    n[5] = 8
+    assert set(zip(*(x.tolist() for x in tree_pairs(key, n, fp, 0.8)))) == {(1, 2), (0, 3), (4, 5)}
+    assert [len(x) for x in tree_pairs(key[:0], n[:0], fp[:0], 0.8)] == [0, 0]
+    fp, m = np.repeat(np.array([[0], [far], [far ^ 1]], np.uint64), [1, 20_000, 20_000], axis=0), 20_000
+    a, b = tree_pairs(np.zeros(2 * m + 1, np.int64), np.full(2 * m + 1, 9), fp, 0.8)  # no chain of equal ones
+    assert b.tolist() == [*range(2, m + 1), *range(m + 2, 2 * m + 1)] and set(a.tolist()) == {1, m + 1}
