@@ -54,3 +54,12 @@ def test_folders_by_cell_are_read_on(spark, tmp_path):
     assert inside(t) == inside(whole) != []
     t.compact()
     assert [f.get("parts") for f in t.snapshot()["folders"]] == [True] and inside(t) == inside(whole)
+
+
+def test_rows_of_deep_trees_take_few_joins(spark, tmp_path):
+    """What every indexed write plans: the bisection's joins, that of the parts and that of the bounds."""
+    tree = Quadtree.initial()
+    tree.split |= {256 << 2 * d for d in range(18)}
+    t = GeoTable(spark, TableSpec("db", "t", str(tmp_path)))
+    rows = t._indexed(points(spark, 0, 10), tree)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") <= 7 and rows.where(F.col(CODE) >= 256).count() == 10
