@@ -21,6 +21,12 @@ OFFSET = 3.0
 BYTE_COST = 10.0
 #: Pre-tokens that a task holds between batches, about.
 MEMO = 150_000
+#: Characters of words that are solved together.
+DEEP = 256
+#: Steps of an automaton that are kept, about.
+STEPS = 1_000_000
+#: The bits of a code point.
+CODES = (1 << 21) - 1
 
 
 def load_pieces(path: str) -> dict[str, float]:
@@ -33,64 +39,152 @@ def load_pieces(path: str) -> dict[str, float]:
 
 
 class PieceTrie:
-    """The pieces, read backwards: a node is [children by character, log-probability of the piece that begins here, its number]."""
+    """The beginnings of pieces as the states of an automaton: a text's state is the longest end of it that begins a piece.
+
+    A state has, shortest first, the pieces that end there: characters, log-probability, tokens, number. The first is that of the last
+    character, or its UTF-8 bytes where it is no piece. States and steps between them are added as texts need them.
+    """
 
     def __init__(self, pieces: dict[str, float]):
-        self.root: list = [{}, None, -1]
         self.names = list(pieces)
         self.floor = min(pieces.values(), default=0.0) - BYTE_COST
-        for number, (name, p) in enumerate(pieces.items()):
-            node = self.root
-            for c in reversed(name):
-                node = node[0].setdefault(c, [{}, None, -1])
-            node[1], node[2] = p, number
+        self.pieces = {name: (p, number) for number, (name, p) in enumerate(pieces.items())}
+        self.begins = {name[:k] for name in pieces for k in range(1, len(name) + 1)}
+        self.texts, self.ends, self.number = [""], [()], {}
+        self.steps: dict[int, int] = {}
+        self.columns = [np.zeros(0, kind) for kind in (np.int64, np.float64, np.int64, np.int64, np.int64)]
+
+    def step(self, key: int) -> int:
+        """The state behind a state and a character, which ``key`` holds in its upper and its last 21 bits."""
+        c = chr(key & CODES)
+        text = self.texts[key >> 21] + c
+        while text and text not in self.begins:
+            text = text[1:]
+        n = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
+        state = self.number.setdefault(text or n, len(self.texts))
+        if state == len(self.texts):
+            own = [(k, *self.pieces[text[-k:]]) for k in range(1, len(text) + 1) if text[-k:] in self.pieces]
+            bytes_ = [] if own and own[0][0] == 1 else [(1, n * self.floor, n, -1)]
+            self.texts.append(text)
+            self.ends.append((*bytes_, *((k, p, 1, number) for k, p, number in own)))
+        if len(self.steps) > STEPS:  # a memo, no more
+            self.steps.clear()
+        self.steps[key] = state
+        return state
+
+    def _columns(self) -> list[np.ndarray]:
+        """The ends of all states as columns, a row without characters behind each state's, and where each state's begin."""
+        new = self.ends[len(self.columns[-1]) :]
+        if new:
+            rows = [row for own in new for row in (*own, (0, 0.0, 0, -1))]
+            begin = np.cumsum([len(self.columns[0]), *(len(own) + 1 for own in new[:-1])])
+            self.columns = [np.concatenate((c, np.array(v, c.dtype))) for c, v in zip(self.columns, (*zip(*rows), begin))]
+        return self.columns
 
     def solve(self, words: list[str], used: np.ndarray | None = None, times: list[int] | None = None) -> dict[str, int]:
         """Tokens of each distinct word in its likeliest segmentation (of equally likely ones, that with fewer tokens).
 
-        The words make up a trie, laid out in preorder: in sorted order each word adds, behind the path it shares with the word before, one
-        node for each further character and its terminal. A node gets its forward score once, from the scores of the nodes on
-        the path to it and the pieces that end there (a walk back along the reversed pieces, as far as any goes on); the count at a
-        terminal is the word's result. A character in no piece costs its UTF-8 bytes. ``used`` adds up how often each piece is used,
-        ``times`` being the occurrences of the words.
+        The words make up a trie, laid out level by level: a node is a parent and a character. All nodes of a level get their forward scores at
+        once, from the scores of the nodes on the paths to them and the pieces that end there; the count at a terminal is the word's
+        result. A character in no piece costs its UTF-8 bytes. ``used`` adds up how often each piece is used, ``times``
+        being the occurrences of the words: they go back along the last tokens, from the deepest level on. Words beyond ``DEEP``
+        characters are taken one by one.
         """
-        counts: dict[str, int] = {}
-        best: list[tuple[float, int]] = [(0.0, 0)]  # of the nodes on the path: score, minus the number of tokens
-        taken: list[tuple[int, int]] = [(0, -1)]  # and where the last token begins, and its piece
-        root, floor, before = self.root, self.floor, ""
-        for i in sorted(range(len(words)), key=words.__getitem__):
-            word = words[i]
-            shared, most = 0, min(len(word), len(before))
-            while shared < most and word[shared] == before[shared]:
-                shared += 1
-            del best[shared + 1 :], taken[shared + 1 :]
-            for depth in range(shared + 1, len(word) + 1):
-                c = word[depth - 1]
-                n = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
-                score, minus = best[-1]
-                top, fewest, begin, piece = score + n * floor, minus - n, depth - 1, -1
-                node, j = root, depth
-                while j:
-                    j -= 1
-                    node = node[0].get(word[j])
-                    if node is None:
-                        break
-                    p = node[1]
-                    if p is not None:
-                        score, minus = best[j]
-                        p += score
-                        if p > top or (p == top and minus - 1 > fewest):
-                            top, fewest, begin, piece = p, minus - 1, j, node[2]
-                best.append((top, fewest))
-                taken.append((begin, piece))
-            counts[word], before = -best[-1][1], word
-            if used is not None:
-                at, n = len(word), times[i] if times else 1
-                while at:
-                    at, piece = taken[at]
-                    if piece >= 0:
-                        used[piece] += n
-        return counts
+        weights = np.ones(len(words), np.int64) if times is None else np.array(times, np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        tokens, zero = np.zeros(len(words), np.int64), np.zeros(1, np.int64)
+        for i in np.flatnonzero(sizes > DEEP).tolist():
+            tokens[i] = self._alone(words[i], used, int(weights[i]))
+        at = np.flatnonzero(sizes <= DEEP)  # the words that go on, and the nodes they are at
+        node = np.zeros(len(at), np.int64)
+        text = "".join(words if len(at) == len(words) else [words[i] for i in at.tolist()])
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        start = np.zeros(len(words), np.int64)
+        start[at] = np.cumsum(sizes[at]) - sizes[at]
+        # of the nodes of each level: score, minus the number of tokens, state, parent, row of the last token, node where it begins
+        levels = [(np.zeros(1), zero, zero, zero, zero, zero)]
+        ended = [(zero[:0], zero[:0])]  # the nodes where words end, and these words
+        while True:
+            depth = len(levels)
+            more = sizes[at] >= depth
+            at, node = at[more], node[more]
+            if not len(at):
+                break
+            nodes, node = np.unique(node << 21 | codes[start[at] + depth - 1], return_inverse=True)
+            levels.append(self._level(levels, nodes >> 21, nodes & CODES))
+            last = sizes[at] == depth
+            ended.append((node[last], at[last]))
+            tokens[at[last]] = -levels[-1][1][node[last]]
+        if used is not None:
+            self._use(levels, ended, weights, used)
+        return dict(zip(words, tokens.tolist()))
+
+    def _level(self, levels: list[tuple], parent: np.ndarray, code: np.ndarray) -> tuple:
+        """The next level: nodes with these parents and characters."""
+        keys, where = np.unique(levels[-1][2][parent] << 21 | code, return_inverse=True)
+        found = [self.steps.get(key) for key in keys.tolist()]
+        state = np.array([self.step(key) if s is None else s for s, key in zip(found, keys.tolist())], np.int64)[where]
+        length, p, cost, _, begin = self._columns()
+        row = begin[state]
+        top, fewest, last, since = levels[-1][0][parent] + p[row], levels[-1][1][parent] - cost[row], row.copy(), parent.copy()
+        row = row + 1
+        live = np.flatnonzero(length[row])
+        row, node, k = row[live], parent[live], 1
+        while len(live):
+            node = levels[-k][3][node]
+            k += 1
+            hit = np.flatnonzero(length[row] == k)
+            if not len(hit):
+                continue
+            at, begins, piece = live[hit], node[hit], row[hit]
+            score, minus = levels[-k][0][begins] + p[piece], levels[-k][1][begins] - 1
+            best = (score > top[at]) | ((score == top[at]) & (minus > fewest[at]))
+            at = at[best]
+            top[at], fewest[at], last[at], since[at] = score[best], minus[best], piece[best], begins[best]
+            row[hit] += 1
+            more = length[row] > 0
+            live, row, node = live[more], row[more], node[more]
+        return top, fewest, state, parent, last, since
+
+    def _use(self, levels: list[tuple], ended: list[tuple], weights: np.ndarray, used: np.ndarray) -> None:
+        """Add the pieces of all words' segmentations to ``used``."""
+        length, _, _, number, _ = self._columns()
+        through = [np.zeros(len(level[0]), np.int64) for level in levels]
+        for depth in range(len(levels) - 1, 0, -1):
+            nodes, own = ended[depth]
+            np.add.at(through[depth], nodes, weights[own])
+            some = np.flatnonzero(through[depth])
+            n, last, since = through[depth][some], levels[depth][4][some], levels[depth][5][some]
+            piece = number[last]
+            np.add.at(used, piece[piece >= 0], n[piece >= 0])
+            for k in np.unique(length[last]).tolist():
+                own = length[last] == k
+                np.add.at(through[depth - k], since[own], n[own])
+
+    def _alone(self, word: str, used: np.ndarray | None, n: int) -> int:
+        """Tokens of one word."""
+        state, scores, minus, last = 0, [0.0], [0], []
+        for c in word:
+            key = state << 21 | ord(c)
+            state = self.steps.get(key)
+            if state is None:
+                state = self.step(key)
+            top, row = -math.inf, None
+            for end in self.ends[state]:
+                p = end[1] + scores[-end[0]]
+                if row is None or p > top or (p == top and minus[-end[0]] - end[2] > minus[-row[0]] - row[2]):
+                    top, row = p, end
+            fewest = minus[-row[0]] - row[2]
+            scores.append(top)
+            minus.append(fewest)
+            last.append(row)
+        at = len(word) if used is not None else 0
+        while at:
+            k, _, _, piece = last[at - 1]
+            at -= k
+            if piece >= 0:
+                used[piece] += n
+        return -minus[-1]
 
 
 def trie_counts(words: list[str], pieces: dict[str, float]) -> dict[str, int]:

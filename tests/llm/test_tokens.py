@@ -1,5 +1,7 @@
 import math
+import random
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -12,7 +14,7 @@ from tokenizers import Tokenizer
 
 from geolake.llm import records
 from geolake.llm.bpe import ForcedBoundaryBpe, bpe_decode, bpe_encode
-from geolake.llm.token_counts import BYTE_COST, SPACE, PieceTrie, count_tokens, estimate_pieces, load_pieces, trie_counts
+from geolake.llm.token_counts import BYTE_COST, DEEP, SPACE, PieceTrie, count_tokens, estimate_pieces, load_pieces, trie_counts
 
 FILES = ("word_bpe_49k.json", "byte_bpe_50k.json")
 ENGINES = {f: ForcedBoundaryBpe(open(P.path(f), encoding="utf-8").read()) for f in FILES}
@@ -118,3 +120,43 @@ def test_pieces_are_counted_over_all_documents(spark):
     n = {SPACE: 1 + 3, SPACE + "ab": 1 + 9, "c": 1 + 3, "b": 1, "a": 1, "ab": 1 + 3}
     assert all(abs(learned[p] - math.log(n[p] / sum(n.values()))) < 1e-12 for p in pieces)
     assert PieceTrie(pieces).solve([SPACE + "z" * 50_000])[SPACE + "z" * 50_000] == 50_001
+
+
+def test_words_are_solved_together_as_one_by_one():
+    r = random.Random(5)
+    word = lambda most: "".join(r.choice("aaabbcdé\ud800日") for _ in range(r.randint(0, most)))
+    pieces = {word(6): -float(r.randint(1, 4)) for _ in range(150)}  # many ties
+    words = list({word(12) for _ in range(3000)} | {word(DEEP + 9) for _ in range(50)} | {"ab" * DEEP, "x" * DEEP, "x" * (DEEP + 1)})
+    times = [r.randint(1, 9) for _ in words]
+    trie, alone, used = PieceTrie(pieces), PieceTrie(pieces), np.zeros(len(pieces), np.int64)
+    counts, each = trie.solve(words, used, times), np.zeros(len(pieces), np.int64)
+    for w, n in zip(words, times):
+        own = np.zeros(len(pieces), np.int64)
+        assert counts[w] == alone._alone(w, own, 1)
+        spelled = sum(len(p) * k for p, k in zip(pieces, own.tolist()))
+        assert spelled <= len(w) and own.sum() <= counts[w]
+        if "\ud800" not in w:
+            assert counts[w] == brute_count(w, pieces)
+        each += n * own
+    assert (used == each).all() and trie.solve([]) == {} and PieceTrie({}).solve(["é", ""]) == {"é": 2, "": 0}
+
+
+def test_python_takes_no_turn_for_each_character():
+    """Lines run in the module, for words of some 60,000 characters beyond what they share."""
+    r = random.Random(6)
+    words = sorted({"".join(r.choice("abcdefgh") for _ in range(10)) for _ in range(10_000)})
+    trie, lines = PieceTrie({a + b: -2.0 for a in "abcdefgh" for b in ["", *"abcdefgh"]}), 0
+
+    def count(frame, event, arg):
+        nonlocal lines
+        lines += event == "line" and frame.f_code.co_filename.endswith("token_counts.py")
+        return count
+
+    trie.solve(words)  # the steps of the automaton are a matter of the pieces
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        counts = trie.solve(words, np.zeros(len(trie.names), np.int64))
+    finally:
+        sys.settrace(before)
+    assert set(counts.values()) == {5} and lines < len(words)
